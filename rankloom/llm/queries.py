@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import rows_of
-from . import chunks, ledger, splits, top_n
+from . import chunks, ledger, overlap, splits, top_n
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.cross_split_pairs(rows_of(spark, sf_dir, "examples"))
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.class_links(rows_of(spark, sf_dir, "examples"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(rows_of(spark, sf_dir, "examples"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +57,7 @@ def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.records(rows_of(spark, sf_dir, "examples"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p5_found, p5_splits, p6_found, p6_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_report, p3_found, p3_pieces, p4_found, p5_found, p5_splits, p6_found, p6_records)}
 
 SQL = {
     "p3_found": "SELECT example_id FROM examples WHERE length(doc) > 1200",
