@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import rows_of
-from . import chunks, ledger, overlap, splits, top_n
+from . import chunks, ledger, mixture, overlap, packing, spans, splits, top_n
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,36 @@ def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.records(rows_of(spark, sf_dir, "examples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_report, p3_found, p3_pieces, p4_found, p5_found, p5_splits, p6_found, p6_records)}
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(rows_of(spark, sf_dir, "documents"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(rows_of(spark, sf_dir, "documents"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.Mixture(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "mix_target")).rows()
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.Mixture(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "mix_target")).reached()
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spans.shared_spans(rows_of(spark, sf_dir, "documents"))
+    return s.select("doc_id", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
+
+
+def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_amount(rows_of(spark, sf_dir, "documents"))
+
+
+def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.passages(rows_of(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_report, p3_found, p3_pieces, p4_found, p5_found, p5_splits, p6_found, p6_records, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_shared, p9_passages)}
 
 SQL = {
     "p3_found": "SELECT example_id FROM examples WHERE length(doc) > 1200",

@@ -64,3 +64,13 @@ def _remove(spark: SparkSession) -> None:
 def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table of one scale factor."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_or_shuffled(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A broadcast hint if df, whose rows are counted and should be few columns of fixed size, has at most most_rows.
+
+    Beyond that df goes back without a hint, and the same join runs by shuffle.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most_rows else df
