@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    """c within lo and hi; null stays null (least and greatest alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
 def as_float(c: Column, default: float = 0.0) -> Column:

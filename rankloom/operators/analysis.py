@@ -128,7 +128,7 @@ def prediction_diagnostics(df: DataFrame, keys: Sequence[str], by: Sequence[str]
     """Figures of the score, of the negated score, and of the retrieval order, with the gap of the mean scores."""
     model = macro(per_query(df, keys, threshold, exact=True), by).select(*by, F.col("ndcg_10").alias("model_ndcg_10"), F.col("mrr").alias("model_mrr"), F.col("map").alias("model_map"))
     inv = macro(per_query(df.withColumn("s", -F.col("s")), keys, threshold, exact=True), by).select(*by, F.col("ndcg_10").alias("inverted_ndcg_10"), F.col("mrr").alias("inverted_mrr"))
-    base = F.coalesce(F.col("retrieval_score"), -F.col("retrieval_rank").cast("double"))
+    base = F.coalesce(F.col("retrieval_score"), -F.col("retrieval_rank").cast("double"), F.lit(0.0))
     ret = macro(per_query(df.withColumn("s", base), keys, threshold, exact=True), by).select(*by, F.col("ndcg_10").alias("retrieval_ndcg_10"), F.col("mrr").alias("retrieval_mrr"))
     pos = F.col("g") >= threshold
     means = df.groupBy(*by).agg(F.coalesce(F.avg(F.when(pos, F.col("s"))), F.lit(0.0)).alias("p"), F.coalesce(F.avg(F.when(~pos, F.col("s"))), F.lit(0.0)).alias("q"))

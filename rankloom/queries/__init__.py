@@ -1,6 +1,6 @@
 """Named queries of the core."""
 
-from . import evaluation, packed
+from . import analysis, candidates, evaluation, packed, sampling
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "evaluation", "packed"]
+__all__ = ["QUERIES", "SQL", "analysis", "candidates", "evaluation", "packed", "sampling"]
