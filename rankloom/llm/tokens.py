@@ -34,7 +34,8 @@ def count_tokens(vocabulary: str = VOCABULARY):
         e = encoder(vocabulary)
         return pd.Series([len(e.encode_ordinary(x)) if x else 0 for x in s], dtype="int64")
 
-    return count
+    # deterministic, but marked so that a filter on the result isn't pushed below it, which would count twice
+    return count.asNondeterministic()
 
 
 def with_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
