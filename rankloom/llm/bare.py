@@ -110,9 +110,10 @@ def _bare_doc_udf(s: pd.Series) -> pd.Series:
     return s.map(bare_doc, na_action=None)
 
 
+# Marked as not deterministic, though they are: else a filter on their result is pushed below them and they run twice.
 def bare_text_col(c: Column) -> Column:
-    return _bare_text_udf(c)
+    return _bare_text_udf.asNondeterministic()(c)
 
 
 def bare_doc_col(c: Column) -> Column:
-    return _bare_doc_udf(c)
+    return _bare_doc_udf.asNondeterministic()(c)
