@@ -66,13 +66,11 @@ class Ledger:
     def read(self, buckets: list[str] | None = None) -> DataFrame:
         """The ledger, or some of its buckets."""
         m = self.manifest()
-        paths = sorted(f"{self.path}/{v}/bucket={b}" for b, v in m.items() if buckets is None or b in buckets)
+        paths = sorted(f"{self.path}/version={v}/bucket={b}" for b, v in m.items() if buckets is None or b in buckets)
         if not paths:
             return self.spark.createDataFrame([], f"bucket int, {self.schema}")
-        df = self.spark.read.option("basePath", self.path).schema(self.schema).parquet(*paths)
-        return df.select(F.element_at(F.split(F.input_file_name(), "bucket="), -1).substr(1, 12).alias("_b"), "*").select(
-            F.regexp_extract("_b", r"^(\d+)", 1).cast("int").alias("bucket"), "key", "n", "keep_id"
-        )
+        parts = f"{self.schema}, version string, bucket int"
+        return self.spark.read.option("basePath", self.path).schema(parts).parquet(*paths).select("bucket", "key", "n", "keep_id")
 
     def merge(self, batch: DataFrame, id_col: str = "example_id") -> None:
         """Add a batch of canonical_keys."""
@@ -88,8 +86,8 @@ class Ledger:
             (F.coalesce("n", F.lit(0)) + F.coalesce("bn", F.lit(0))).alias("n"),
             F.least("keep_id", "bid").alias("keep_id"),
         )
-        version = uuid.uuid4().hex
-        both.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{version}")
+        version = f"v{uuid.uuid4().hex}"
+        both.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/version={version}")
         self._point(self.manifest() | {b: version for b in touched})
 
 
