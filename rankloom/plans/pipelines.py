@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scorers import score
+from ..functions.text import pair_length, truncate
 from ..operators import analysis, metrics, retrieval, sampling
 from ..operators.rank import ranked
 from ..sources.records import read_json_document, read_json_lines, to_examples
@@ -69,3 +70,65 @@ def analyse(predictions: DataFrame, keys: Sequence[str], category: str, worst: i
     """Query summary, categories and the report of the worst cases; the category is a column of the keys."""
     summary = analysis.query_summary(predictions, list(keys))
     return {"summary": summary, "categories": analysis.category_summary(summary, category), "worst": analysis.bad_cases(summary, worst)}
+
+
+def predict(docs: DataFrame, query: str, k: int, scorer: str = "lexical", instruction: str = "") -> DataFrame:
+    """(rank, doc_id, doc, score) of the k best documents for one query; docs has doc_id and doc, blank docs are left out."""
+    rows = docs.where("trim(doc) != ''").withColumns({"instruction": F.lit(instruction), "query": F.lit(query)})
+    best = score(rows, scorer).orderBy(F.desc("score"), "doc_id").limit(k)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "doc", "score")  # k rows
+
+
+def prepare_subset(
+    examples: DataFrame, ratio: float = 0.1, max_pair_chars: int = 2048, max_docs: int = 0, max_doc_chars: int = 0, threshold: float = 7.0, seed: int = 42
+) -> DataFrame:
+    """Tenth of the examples in whole groups: pairs within the length, capped groups with all positives, groups with one.
+
+    The target is a share of all rows that came in, not of those left after the filters.
+    """
+    target = int(examples.agg(F.greatest(F.bround(F.count(F.lit(1)) * min(1.0, max(0.0, ratio))), F.lit(1))).first()[0])
+    rows = examples.where(pair_length(0, F.col("query"), F.col("doc")) <= max_pair_chars) if max_pair_chars else examples
+    if max_doc_chars:
+        rows = rows.withColumn("doc_truncated", F.length("doc") > max_doc_chars).withColumn("doc", truncate(F.col("doc"), max_doc_chars))
+    if max_docs:
+        rows = sampling.cap_groups(rows, "group_key", max_docs, [F.col("source_index")], F.col("raw_label") >= threshold)
+    kept = rows.where(F.col("raw_label") >= threshold).select("group_key").distinct()
+    chosen = sampling.sample_groups(rows.join(kept, "group_key", "left_semi"), "group_key", target, seed)
+    count = chosen.groupBy("group_key").agg(F.count(F.lit(1)).alias("candidate_count"), F.sum((F.col("raw_label") >= threshold).cast("long")).alias("candidate_relevant_count"))
+    return chosen.join(count, "group_key")
+
+
+def supervised_pairs(
+    corpus: DataFrame, queries: DataFrame, qrels: DataFrame | None = None, mode: str = "random", negatives: int = 15, max_docs: int = 32, min_match: float = 0.8, seed: int = 42
+) -> DataFrame:
+    """(qid, query, doc_id, doc, labels, reason): positives and sampled negatives of each query, at most max_docs a query.
+
+    Without qrels a query's positive is the document of the same id, if at least min_match of the queries have one;
+    mode is "random" or "positives_only".  Positives come first when a query has more than max_docs.
+    """
+    q = queries.where("trim(query) != ''").select("qid", "query")
+    if qrels is None:
+        same = q.select("qid").join(corpus.select(F.col("doc_id").alias("qid")), "qid", "left_semi")
+        n, m = q.count(), same.count()
+        if not n or m / n < min_match:
+            raise ValueError(f"{m} of {n} queries have a document of the same id; qrels are needed")
+        pos = same.select("qid", F.col("qid").alias("doc_id"))
+    else:
+        pos = qrels.where("score > 0").select("qid", "doc_id").join(corpus.select("doc_id"), "doc_id", "left_semi").join(q.select("qid"), "qid", "left_semi")
+    rows = pos.distinct().select("qid", "doc_id", F.lit(10.0).alias("labels"), F.lit("positive").alias("reason"), F.lit(0).alias("_o"))
+    if mode == "random":
+        neg = sampling.random_negatives(q.join(pos.select("qid"), "qid", "left_semi"), pos, corpus, negatives, seed)
+        rows = rows.unionByName(neg.select("qid", "doc_id", F.lit(0.0).alias("labels"), F.lit("random_negative").alias("reason"), F.lit(1).alias("_o")))
+    rows = sampling.cap_groups(rows, "qid", max_docs, [F.col("_o"), retrieval.hash_order(seed, F.col("doc_id"))]).drop("_o")
+    return rows.join(q, "qid").join(corpus.select("doc_id", F.col("text").alias("doc")), "doc_id").select("qid", "query", "doc_id", "doc", "labels", "reason")
+
+
+def split_files(examples: DataFrame, path: str, **ratios: float) -> None:
+    """One folder of JSON lines for each split."""
+    split_examples(examples, **ratios).write.option("ignoreNullFields", "false").partitionBy("split").json(path)
+
+
+def first_instruction(examples: DataFrame, default: str = "") -> str:
+    """The first instruction that isn't blank."""
+    got = examples.where("trim(instruction) != ''").agg(F.min_by("instruction", "source_index")).first()[0]
+    return got or default

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..functions.ids import category_name, extract_ids
 from ..operators import sampling as P
 from ..operators.retrieval import hash_order
 from ..storage import rows_of
@@ -129,3 +131,35 @@ def lpt_shards(spark, sf_dir):
     """Sources of the documents over 8 shards by falling size; a sequential rule, tested on fixtures."""
     d = rows_of(spark, sf_dir, "documents").groupBy("origin_id").agg(F.count(F.lit(1)).alias("n"))
     return P.lpt_shards(d, "origin_id", "n", 8, buckets=16)
+
+
+@query(f"""WITH {EX} SELECT arg_min(instruction, example_id) AS instruction, min(example_id) AS source_index FROM ex WHERE instruction IS NOT NULL AND trim(instruction, ' ') <> ''""")
+def first_instruction(spark, sf_dir):
+    e = rows_of(spark, sf_dir, "examples").where("trim(instruction) != ''")
+    return e.agg(F.min_by("instruction", "example_id").alias("instruction"), F.min("example_id").alias("source_index"))
+
+
+@query("""SELECT example_id, length(coalesce(query, '')) + length(coalesce(doc, '')) AS pair_chars, left(doc, 200) AS doc, coalesce(length(doc) > 200, false) AS doc_truncated,
+          length(coalesce(query, '')) + length(coalesce(doc, '')) > 2048 AS too_long FROM examples""")
+def subset_rows(spark, sf_dir):
+    """Rows of the subset command with their truncation flags."""
+    e = rows_of(spark, sf_dir, "examples")
+    n = X.pair_length(0, F.col("query"), F.col("doc")).cast("long")
+    cut = F.coalesce(F.length("doc") > 200, F.lit(False))
+    return e.select("example_id", n.alias("pair_chars"), X.truncate(F.col("doc"), 200).alias("doc"), cut.alias("doc_truncated"), (n > 2048).alias("too_long"))
+
+
+@query("""WITH m AS (SELECT * FROM (VALUES ('1', 'single'), ('2', 'time'), ('3', 'open')) t(category, name))
+          SELECT qa_id, CASE WHEN q.category IS NULL THEN 'unknown' ELSE coalesce(m.name, CAST(q.category AS VARCHAR)) END AS category_name
+          FROM dialogue_qa q LEFT JOIN m ON m.category = CAST(q.category AS VARCHAR)""")
+def category_names(spark, sf_dir):
+    names = spark.createDataFrame([("1", "single"), ("2", "time"), ("3", "open")], "category string, name string")
+    q = rows_of(spark, sf_dir, "dialogue_qa").select("qa_id", F.col("category").cast("string").alias("category"))
+    return q.join(F.broadcast(names), "category", "left").select("qa_id", category_name(F.col("category"), F.col("name")).alias("category_name"))
+
+
+@query()
+def evidence_ids(spark, sf_dir):
+    """Ids of the evidence by the recursive rule for JSON and separated text (tested on fixtures)."""
+    q = rows_of(spark, sf_dir, "dialogue_qa")
+    return q.select("qa_id", F.posexplode(extract_ids(F.col("evidence"), ",;")).alias("pos", "item"))
