@@ -38,23 +38,24 @@ def bm25(
 ) -> DataFrame:
     """(*part, qid, doc_id, bm25, rank): the k best documents of each query; documents without a common term never come.
 
-    The corpus is tokenised twice, for lengths and for postings; only postings with a term of a query go on, as the
-    semi-join with the queries' terms comes before the counts of a term within a document.  Scores are rounded to six
+    The corpus is tokenised for its mean length, which takes no shuffle of rows, and for the postings, which carry the
+    length of their document; only postings with a term of a query go on, as the semi-join with the queries' terms comes
+    before the counts of a term within a document.  Scores are rounded to six
     places before they are ranked, ties go by doc_id.
     """
     wanted = queries.select(*part, qid, F.explode(bm25_tokens(F.col(query))).alias("term"))
     wanted = wanted.groupBy(*part, qid, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    words = corpus.select(*part, "doc_id", F.explode(bm25_tokens(F.col(text))).alias("term"))
+    tokens = corpus.select(*part, "doc_id", bm25_tokens(F.col(text)).alias("_tokens"))
+    words = tokens.select(*part, "doc_id", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
     terms = wanted.select(*part, "term").distinct()
     found = words.join(small_or_shuffled(terms), [*part, "term"], "left_semi")
-    found = found.groupBy(*part, "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = corpus.select(*part, "doc_id", F.size(bm25_tokens(F.col(text))).alias("dl"))
-    size = lengths.groupBy(*part).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    found = found.groupBy(*part, "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    size = tokens.groupBy(*part).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_tokens")).alias("avgdl"))
     df = found.groupBy(*part, "term").agg(F.count(F.lit(1)).alias("df"))
     df = df.join(size, list(part)) if part else df.crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = df.select(*part, "term", "avgdl", idf.alias("idf")).join(small_or_shuffled(wanted), [*part, "term"])
-    hits = found.join(df, [*part, "term"]).join(lengths, [*part, "doc_id"])
+    hits = found.join(df, [*part, "term"])
     norm = F.greatest(F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))), F.lit(1e-9))
     score = F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm)
     scored = hits.groupBy(*part, qid, "doc_id").agg(F.round(score, 6).alias("bm25"))
