@@ -52,10 +52,20 @@ def synthesize_doc(doc: Column, fields: dict[str, Column]) -> Column:
     return utrim(F.coalesce(F.nullif(doc, F.lit("")), F.concat_ws(", ", *parts)))
 
 
+#: The template of a pair, and the frame of chat prompts for yes/no answers.
+PAIR_TEMPLATE = ("<Instruct>: ", "\n<Query>: ", "\n<Document>: ")
+CHAT_SYSTEM = (
+    "Judge whether the Document meets the requirements based on the Query and the Instruct provided. "
+    'Note that the answer can only be "yes" or "no".'
+)
+CHAT_START, CHAT_USER = "<|im_start|>system\n", "<|im_end|>\n<|im_start|>user\n"
+CHAT_END = "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
+
+
 def prompt(instruction: Column, query: Column, doc: Column) -> Column:
     """Input text of a pointwise scorer."""
-    i, q, d = (utrim(F.coalesce(c, F.lit(""))) for c in (instruction, query, doc))
-    return F.concat(F.lit("<Instruct>: "), i, F.lit("\n<Query>: "), q, F.lit("\n<Document>: "), d)
+    parts = [(F.lit(t), utrim(F.coalesce(c, F.lit("")))) for t, c in zip(PAIR_TEMPLATE, (instruction, query, doc))]
+    return F.concat(*[x for pair in parts for x in pair])
 
 
 def instruction_query(instruction: Column, query: Column, prefix: str = "") -> Column:
@@ -64,10 +74,19 @@ def instruction_query(instruction: Column, query: Column, prefix: str = "") -> C
     return F.when(i == "", F.concat(F.lit(prefix if prefix else ""), q)).otherwise(F.concat(i, F.lit(f"\n\n{prefix}"), q))
 
 
-def chat_prompt(system: str, instruction: Column, query: Column, doc: Column) -> Column:
-    """Chat-form prompt for yes/no scoring."""
-    body = F.concat(F.lit("<Instruct>: "), instruction, F.lit("\n<Query>: "), query, F.lit("\n<Document>: "), doc)
-    return F.concat(F.lit(f"<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n"), body, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+def chat_prompt(instruction: Column, query: Column, doc: Column, system: str = CHAT_SYSTEM, gap: str = "\n") -> Column:
+    """Chat-form prompt whose next token is yes or no; ``gap`` goes before query and document, once more than in the pair template."""
+    values = [F.coalesce(c, F.lit("")) for c in (instruction, query, doc)]
+    marks = [t.replace("\n", "\n" + gap) for t in PAIR_TEMPLATE]
+    body = [x for m, v in zip(marks, values) for x in (F.lit(m), v)]
+    return F.concat(F.lit(CHAT_START + system + CHAT_USER), *body, F.lit(CHAT_END))
+
+
+def chat_pair(instruction: Column, query: Column, doc: Column, system: str = " " + CHAT_SYSTEM) -> Column:
+    """struct(query, document): the two halves of a chat prompt for scorers that take a pair."""
+    i, q, d = (F.coalesce(c, F.lit("")) for c in (instruction, query, doc))
+    first = F.concat(F.lit(CHAT_START + system + CHAT_USER + PAIR_TEMPLATE[0]), i, F.lit(PAIR_TEMPLATE[1]), q, F.lit("\n"))
+    return F.struct(first.alias("query"), F.concat(F.lit(PAIR_TEMPLATE[2].lstrip()), d, F.lit(CHAT_END)).alias("document"))
 
 
 def fill_template(template: str, query: Column) -> Column:
@@ -77,20 +96,26 @@ def fill_template(template: str, query: Column) -> Column:
     return F.replace(F.lit(template), F.lit("{query}"), query)
 
 
-def pair_length(template_chars: int, *cols: Column) -> Column:
-    """Characters of a filled template, its parts not trimmed."""
-    total = F.lit(template_chars)
-    for c in cols:
+def pair_length(instruction: Column, query: Column, doc: Column) -> Column:
+    """Characters of the filled pair template, its parts not trimmed."""
+    total = F.lit(sum(map(len, PAIR_TEMPLATE)))
+    for c in (instruction, query, doc):
         total = total + F.coalesce(F.length(c), F.lit(0))
     return total
 
 
-def turn_doc(session: Column, session_time: Column, speaker: Column, said: Column, caption: Column | None = None) -> Column:
-    """Document text of one dialogue turn: its filled fields by name."""
-    fields = [("session", session), ("time", session_time), ("speaker", speaker), ("text", said)]
-    if caption is not None:
-        fields.append(("image caption", caption))
-    return F.concat_ws(", ", *[F.when(clean_text(c) != "", F.concat(F.lit(f"{k}: "), clean_text(c))) for k, c in fields])
+def turn_doc(
+    session: Column, session_time: Column, speaker: Column, said: Column, speaker_a: Column | None = None, speaker_b: Column | None = None,
+    caption: Column | None = None, image_query: Column | None = None,
+) -> Column:
+    """Document text of one dialogue turn: its filled fields by name behind the session; empty if none is filled."""
+    none = F.lit(None).cast("string")
+    filled = lambda c: F.nullif(clean_text(none if c is None else c), F.lit(""))
+    both = F.nullif(F.concat_ws(", ", filled(speaker_a), filled(speaker_b)), F.lit(""))
+    fields = [("time", filled(session_time)), ("speaker", filled(speaker)), ("participants", both), ("text", filled(said))]
+    fields += [("image_caption", filled(caption)), ("image_search_query", filled(image_query))]
+    parts = F.concat_ws(", ", *[F.concat(F.lit(f"{k}: "), c) for k, c in fields])
+    return F.when(parts == "", F.lit("")).otherwise(F.concat(F.lit("session: "), session, F.lit(", "), parts))
 
 
 def clean_cell(c: Column) -> Column:
@@ -120,8 +145,8 @@ def normalize_list(c: Column) -> Column:
 def normalize_doc(title: Column, text: Column) -> Column:
     """Corpus text; the title goes before it if it isn't part of it."""
     t, x = utrim(F.coalesce(title, F.lit(""))), utrim(F.coalesce(text, F.lit("")))
-    both = F.concat(F.lit("title: "), t, F.lit("\ntext: "), x)
-    return F.when((t != "") & (x != "") & (F.instr(x, t) == 0), both).when(x == "", t).otherwise(x)
+    both = utrim(F.concat(F.lit("title: "), t, F.lit("\ntext: "), x))
+    return F.when((t != "") & (F.instr(x, t) == 0), both).otherwise(x)
 
 
 def bm25_tokens(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
+from ..functions.text import turn_doc
 from .metrics import THRESHOLD, _left, ideal_dcg, macro, per_query, r6
 from .rank import _null_safe, ranked
 
@@ -212,7 +213,7 @@ def dialogue_docs(turns: DataFrame) -> DataFrame:
     rows = turns.where(F.coalesce(F.trim("said"), F.lit("")) != "").withColumn("tid", tid)
     got = rows.groupBy("sample_id", "tid").agg(F.max_by(F.struct("session", "session_time", "turn_no", "speaker", "said"), "turn_id").alias("t"))
     no = F.regexp_extract("t.session", r"^session_(\d+)$", 1).try_cast("int")
-    doc = F.concat_ws(", ", F.concat(F.lit("session: "), "t.session"), F.concat(F.lit("time: "), "t.session_time"), F.concat(F.lit("speaker: "), "t.speaker"), F.concat(F.lit("text: "), "t.said"))
+    doc = turn_doc(F.col("t.session"), F.col("t.session_time"), F.col("t.speaker"), F.col("t.said"))
     return got.select("sample_id", F.concat("sample_id", F.lit("::"), "tid").alias("doc_id"), "tid", no.alias("session_no"), F.col("t.turn_no").alias("turn_no"), doc.alias("doc"))
 
 

@@ -11,6 +11,7 @@ from ..functions.scalar import dot, l2_normalize
 from ..functions.text import bm25_tokens
 from ..storage import small_or_shuffled
 
+#: The usual parameters of BM25.
 K1, B = 1.2, 0.75
 
 

@@ -87,7 +87,7 @@ def prepare_subset(
     The target is a share of all rows that came in, not of those left after the filters.
     """
     target = int(examples.agg(F.greatest(F.bround(F.count(F.lit(1)) * min(1.0, max(0.0, ratio))), F.lit(1))).first()[0])
-    rows = examples.where(pair_length(0, F.col("query"), F.col("doc")) <= max_pair_chars) if max_pair_chars else examples
+    rows = examples.where(pair_length(F.col("instruction"), F.col("query"), F.col("doc")) <= max_pair_chars) if max_pair_chars else examples
     if max_doc_chars:
         rows = rows.withColumn("doc_truncated", F.length("doc") > max_doc_chars).withColumn("doc", truncate(F.col("doc"), max_doc_chars))
     if max_docs:

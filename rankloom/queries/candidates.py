@@ -50,7 +50,7 @@ _WS = r"[\s\p{Z}]"
              title AS t0, text AS x0 FROM documents)
            SELECT doc_id, length(d) AS synthesized_chars, md5(d) AS synthesized, length(c) AS corpus_chars, md5(c) AS corpus FROM (
              SELECT doc_id, regexp_replace(concat_ws(', ', CASE WHEN coalesce(t0, '') <> '' THEN 'title: ' || t END, CASE WHEN coalesce(x0, '') <> '' THEN 'text: ' || x END), '^{_WS}+|{_WS}+$', '', 'g') AS d,
-               CASE WHEN t <> '' AND x <> '' AND NOT contains(x, t) THEN 'title: ' || t || chr(10) || 'text: ' || x WHEN x = '' THEN t ELSE x END AS c FROM t)""")
+               CASE WHEN t <> '' AND NOT contains(x, t) THEN regexp_replace('title: ' || t || chr(10) || 'text: ' || x, '{_WS}+$', '') ELSE x END AS c FROM t)""")
 def doc_synthesis(spark, sf_dir):
     """Documents from their fields, by the record rule and by the corpus rule, as lengths and digests of whole texts."""
     d = rows_of(spark, sf_dir, "documents")
@@ -60,7 +60,7 @@ def doc_synthesis(spark, sf_dir):
     return d.select("doc_id", F.length(syn).cast("long").alias("synthesized_chars"), F.md5(syn).alias("synthesized"), F.length(cor).cast("long").alias("corpus_chars"), F.md5(cor).alias("corpus"))
 
 
-@query(rf"""WITH t AS (SELECT example_id, length(coalesce(query, '')) + length(coalesce(doc, '')) AS pair_chars,
+@query(rf"""WITH t AS (SELECT example_id, 35 + length(coalesce(instruction, '')) + length(coalesce(query, '')) + length(coalesce(doc, '')) AS pair_chars,
              [regexp_replace(coalesce(v, ''), '^{_WS}+|{_WS}+$', '', 'g') for v in [instruction, query, doc]] AS p FROM examples)
            SELECT example_id, pair_chars, md5('<Instruct>: ' || p[1] || chr(10) || '<Query>: ' || p[2] || chr(10) || '<Document>: ' || p[3]) AS pointwise,
              md5(CASE WHEN p[1] = '' THEN p[2] ELSE p[1] || chr(10) || chr(10) || p[2] END) AS plain,
@@ -70,7 +70,7 @@ def prompt_text(spark, sf_dir):
     """Prompts of the scorers for pairs within the length limit."""
     e = rows_of(spark, sf_dir, "examples")
     i, q, d = F.col("instruction"), F.col("query"), F.col("doc")
-    got = e.withColumn("pair_chars", X.pair_length(0, q, d).cast("long")).where("pair_chars <= 2048")
+    got = e.withColumn("pair_chars", X.pair_length(i, q, d).cast("long")).where("pair_chars <= 2048")
     return got.select(
         "example_id", "pair_chars", F.md5(X.prompt(i, q, d)).alias("pointwise"), F.md5(X.instruction_query(i, q)).alias("plain"), F.md5(X.instruction_query(i, q, "Query: ")).alias("named")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.ids import category_name, extract_ids
+from ..functions.ids import category_name, extract_evidence
 from ..operators import sampling as P
 from ..operators.retrieval import hash_order
 from ..storage import rows_of
@@ -139,12 +139,12 @@ def first_instruction(spark, sf_dir):
     return e.agg(F.min_by("instruction", "example_id").alias("instruction"), F.min("example_id").alias("source_index"))
 
 
-@query("""SELECT example_id, length(coalesce(query, '')) + length(coalesce(doc, '')) AS pair_chars, left(doc, 200) AS doc, coalesce(length(doc) > 200, false) AS doc_truncated,
-          length(coalesce(query, '')) + length(coalesce(doc, '')) > 2048 AS too_long FROM examples""")
+@query("""SELECT example_id, 35 + length(coalesce(instruction, '')) + length(coalesce(query, '')) + length(coalesce(doc, '')) AS pair_chars, left(doc, 200) AS doc, coalesce(length(doc) > 200, false) AS doc_truncated,
+          35 + length(coalesce(instruction, '')) + length(coalesce(query, '')) + length(coalesce(doc, '')) > 2048 AS too_long FROM examples""")
 def subset_rows(spark, sf_dir):
     """Rows of the subset command with their truncation flags."""
     e = rows_of(spark, sf_dir, "examples")
-    n = X.pair_length(0, F.col("query"), F.col("doc")).cast("long")
+    n = X.pair_length(F.col("instruction"), F.col("query"), F.col("doc")).cast("long")
     cut = F.coalesce(F.length("doc") > 200, F.lit(False))
     return e.select("example_id", n.alias("pair_chars"), X.truncate(F.col("doc"), 200).alias("doc"), cut.alias("doc_truncated"), (n > 2048).alias("too_long"))
 
@@ -162,4 +162,4 @@ def category_names(spark, sf_dir):
 def evidence_ids(spark, sf_dir):
     """Ids of the evidence by the recursive rule for JSON and separated text (tested on fixtures)."""
     q = rows_of(spark, sf_dir, "dialogue_qa")
-    return q.select("qa_id", F.posexplode(extract_ids(F.col("evidence"), ",;")).alias("pos", "item"))
+    return q.select("qa_id", F.posexplode(extract_evidence(F.col("evidence"))).alias("pos", "item"))

@@ -40,13 +40,14 @@ def with_offsets(df: DataFrame, groups: list[str], order: list[str], amount: Col
     df = df.withColumn("_rn", F.row_number().over(inside) - 1)
     df = df.withColumn("_run", F.sum("_amount").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_amount"))
     on = None
-    t = totals.select(*[F.col(c).alias(f"_t_{c}") for c in groups], F.col("_bucket").alias("_t_bucket"), "_n0", "_s0")
-    for c in [*groups, "_bucket"]:
-        x = F.col(c).eqNullSafe(F.col(f"_t_{c}".replace("_t__", "_t_")))
+    names = {c: f"_t{i}" for i, c in enumerate([*groups, "_bucket"])}
+    t = totals.withColumnsRenamed(names)
+    for c, name in names.items():
+        x = F.col(c).eqNullSafe(F.col(name))
         on = x if on is None else on & x
     df = df.join(t, on, "inner")
     df = df.withColumn("seq", F.col("_rn") + F.col("_n0")).withColumn("before", F.col("_run") + F.col("_s0"))
-    return df.drop("_amount", "_bucket", "_rn", "_run", "_n0", "_s0", *[f"_t_{c}" for c in groups], "_t_bucket")
+    return df.drop("_amount", "_bucket", "_rn", "_run", "_n0", "_s0", *names.values())
 
 
 def join_counted(rows: DataFrame, unique: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:

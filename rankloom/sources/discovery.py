@@ -8,9 +8,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where the files of a split, and of the relevance judgements, may lie in a dataset's folder.
-SPLIT_PATTERNS = ("{s}.parquet", "{s}-*.parquet", "{s}/*.parquet", "data/{s}-*.parquet", "{s}.jsonl", "{s}.json", "{s}/*.jsonl")
-QRELS_PATTERNS = ("qrels/*.parquet", "qrels/*.tsv", "qrels/*.txt", "qrels*.tsv", "qrels*.parquet", "data/*qrels*.parquet", "*-qrels/*.tsv", "*-qrels/data/*.parquet")
+#: Where the files of a split lie in a dataset's folder; where those of relevance judgements lie in it, and
+#: in a folder of their own.
+SPLIT_PATTERNS = ("{s}.jsonl", "{s}.json", "{s}-*.jsonl", "{s}-*.json", "{s}*.parquet", "data/{s}*.parquet", "data/{s}-*.parquet")
+QRELS_INSIDE = tuple(f"{at}.{kind}" for at in ("qrels/*", "*qrels*") for kind in ("tsv", "txt", "csv", "parquet"))
+QRELS_APART = tuple(f"{at}.{kind}" for at in ("*", "data/*", "qrels/*") for kind in ("tsv", "txt", "csv", "parquet"))
 
 
 def glob(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
@@ -28,10 +30,10 @@ def split_files(spark: SparkSession, folder: str, split: str) -> list[str]:
     return glob(spark, [f"{folder}/{p.format(s=split)}" for p in SPLIT_PATTERNS])
 
 
-def qrels_files(spark: SparkSession, folder: str) -> list[str]:
-    """Files of relevance judgements in the folder, else in folders beside it that are named after it."""
-    here = glob(spark, [f"{folder}/{p}" for p in QRELS_PATTERNS])
-    return here or glob(spark, [f"{folder.rstrip('/')}{suffix}/{p}" for suffix in ("-qrels", "_qrels") for p in ("*.tsv", "*.parquet", "data/*.parquet", *QRELS_PATTERNS)])
+def qrels_files(spark: SparkSession, folder: str, suffix: str = "-qrels") -> list[str]:
+    """Files of relevance judgements in the folder and in the one beside it with the suffix, sorted by name."""
+    folder = folder.rstrip("/")
+    return sorted(glob(spark, [*(f"{folder}/{p}" for p in QRELS_INSIDE), *(f"{folder}{suffix}/{p}" for p in QRELS_APART)]))
 
 
 def cached_table(spark: SparkSession, folder: str, settings: dict, make: Callable[[], DataFrame]) -> DataFrame:

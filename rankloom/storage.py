@@ -39,14 +39,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a materialized table that nothing will read any more (loops drop each round's table by this)."""
-    for name in df.inputFiles()[:1]:
-        for path in [p for p in _made if p.split("://")[-1].split(":", 1)[-1] in name]:
-            _delete(spark, path)
-            _made.discard(path)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import ids
+from rankloom.functions import text as X
 from rankloom.plans import pipelines
 from rankloom.sources import discovery
 
@@ -9,27 +10,44 @@ from rankloom.sources import discovery
 @pytest.mark.parametrize(
     ("value", "got"),
     [
-        (None, []), ("", []), ("a, b,,c", ["a", "b", "c"]), ('["a", ["b", {"doc_id": "c"}]]', ["a", "b", "c"]), ('{"x": 1, "y": 0, "z": 0.5}', ["x", "z"]),
-        ('{"k": ["a", {"id": 7}]}', ["a", "7"]), ("[broken", ["[broken"]), ("[1, 2.0, true, null]", ["1", "2"]), ("a;b", ["a;b"]),
+        (None, []), ("", []), ("a, b,,c", ["a", "b", "c"]), ('["a", ["b", {"doc_id": "c"}]]', ["a", "b", "c"]), ('{"x": 1, "y": 0, "z": 0.5, "w": "high", "v": "0"}', ["x", "z", "w"]),
+        ('{"id": null, "x": 1}', []), ("[broken", ["[broken"]), ("[1, 2.5, null]", ["1", "2.5"]), ("a;b", ["a;b"]),
     ],
 )
 def test_ids_in(value, got):
     assert list(ids.ids_in(value)) == got
 
 
+def test_evidence_in():
+    value = ["D1:2; D1:3,D2:1", {"dia_id": "D3:1", "turn_id": "D3:2"}, {"evidence": ["D4:1", 5]}, None]
+    assert list(ids.evidence_in(value)) == ["D1:2", "D1:3", "D2:1", "D3:1", "D3:2", "D4:1", "5"]
+
+
 def test_id_columns(spark):
     df = spark.createDataFrame([("a;b,a", '["x"]', ["i", "j"], [0.5, 0.25])], "e string, p string, i array<string>, s array<double>")
-    r = df.select(ids.extract_ids(F.col("e"), ",;").alias("e"), ids.positives([F.col("p"), F.col("e")]).alias("p"), ids.join_ids(F.col("i")).alias("j"), ids.id_scores(F.col("i"), F.col("s")).alias("s")).first()
+    r = df.select(ids.extract_evidence(F.col("e")).alias("e"), ids.positives([F.col("p"), F.col("e")]).alias("p"), ids.join_ids(F.col("i")).alias("j"), ids.id_scores(F.col("i"), F.col("s")).alias("s")).first()
     assert (r["e"], r["p"], r["j"], r["s"]) == (["a", "b"], ["x", "a;b", "a"], "i，j", "i:0.500000，j:0.250000")
 
 
+def test_prompts_and_turns(spark):
+    i, q, d, none = F.lit("I"), F.lit("q"), F.lit("d"), F.lit(None).cast("string")
+    r = spark.range(1).select(
+        X.prompt(F.lit(" I "), q, none).alias("pair"), X.chat_prompt(i, q, d).alias("chat"), X.chat_pair(i, q, d).alias("two"), X.pair_length(i, q, d).alias("n"),
+        X.turn_doc(F.lit("s1"), none, F.lit("A"), F.lit("x  y"), F.lit("A"), F.lit("B")).alias("turn"), X.turn_doc(F.lit("s1"), none, none, F.lit(" ")).alias("none"),
+    ).first()
+    assert r["pair"] == "<Instruct>: I\n<Query>: q\n<Document>: " and r["n"] == len("<Instruct>: I\n<Query>: q\n<Document>: d")
+    assert "<Instruct>: I\n\n<Query>: q\n\n<Document>: d<|im_end|>\n<|im_start|>assistant\n<think>" in r["chat"]
+    assert r["two"]["query"].endswith("<Instruct>: I\n<Query>: q\n") and r["two"]["document"].startswith("<Document>: d<|im_end|>")
+    assert r["turn"] == "session: s1, speaker: A, participants: A, B, text: x y" and r["none"] == ""
+
+
 def test_discovery_and_cache(spark, tmp_path):
     (tmp_path / "data").mkdir()
     (tmp_path / "qrels").mkdir()
-    for name in ("data/test-0.parquet", "test.jsonl", "qrels/test.tsv", "other.json"):
+    for name in ("test.jsonl", "data/test-0.parquet", "qrels/test.tsv", "other.json"):
         (tmp_path / name).write_text("x")
     tail = lambda xs: [x.rsplit("/", 1)[-1] for x in xs]
-    assert tail(discovery.split_files(spark, str(tmp_path), "test")) == ["test-0.parquet", "test.jsonl"]
+    assert tail(discovery.split_files(spark, str(tmp_path), "test")) == ["test.jsonl", "test-0.parquet"]
     assert tail(discovery.qrels_files(spark, str(tmp_path))) == ["test.tsv"] and discovery.split_files(spark, str(tmp_path), "dev") == []
     made = []
     for model in ("m", "m", "n"):
