@@ -1,7 +1,10 @@
-"""Same or near-same records across splits: minwise hash bands, cross-split candidates, exact verification."""
+"""Same or near-same records across splits: near queries by exact bounds, then docs of near queries, exact verification."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,50 +12,126 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..skew import join_counted, key128
-from ..storage import materialize
+from ..storage import materialize, small_or_shuffled
 from .bare import bare_doc_col, bare_text_col
-from .minhash import Bands, jaccard
-
-#: Docs are short and near means up to a fifth of the characters changed, so shingles are of characters, not words.
-#: Scripts with many characters need shorter shingles for the same chance of two unrelated texts to share one.
-WIDE = Bands(k=4, rows=4, bands=32, seed=11)
-NARROW = Bands(k=5, rows=5, bands=32, seed=12)
-#: In a short text an edit takes a larger part of the shingles, so texts up to SHORT_CHARS have these keys as well.
-SHORT, SHORT_CHARS = Bands(k=3, rows=5, bands=32, seed=14), 160
-QUERY = Bands(k=2, rows=2, bands=16, seed=13)
+from .minhash import code_points, jaccard, shingle_hashes
+
 #: Near strings share at least this part of their shingles of three characters; see ``verified``.
 LEAST_JACCARD = 0.2
-#: Pairs that one bucket may give before it is divided by the bands of the query.
-PAIRS_OF_BUCKET = 100_000
+#: Pairs that are compared in one tile.  More are divided into chunks of which each meets each, so nothing is lost.
+PAIRS_OF_BUCKET = 4_000_000
+#: Lengths of near strings differ by at most a factor of 1.25, so they are in the same or adjacent steps of this size.
+STEP = 1.26
+#: Counts that stand in memory at once for one side of a tile.
+_CELLS = 1 << 22
 #: Ids that may be broadcast (8 bytes each); beyond, the same join runs by shuffle.
 MOST_BROADCAST = 400_000
 
 
-def is_wide(s: str) -> bool:
-    """Whether most characters are of a script with thousands of characters."""
-    return sum(c >= "⺀" for c in s) * 2 > len(s)
-
+def _counts(texts: list[str], k: int, width: int) -> np.ndarray:
+    """How many k-character shingles of each text have each hash below ``width``."""
+    h, starts = shingle_hashes(*code_points(texts), k)
+    at = np.repeat(np.arange(len(texts)) * width, np.diff(starts)) + (h & np.uint64(width - 1)).astype(np.int64)
+    return np.bincount(at, minlength=len(texts) * width).reshape(-1, width).astype(np.float32)
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _doc_bands(s: pd.Series) -> pd.Series:
-    texts = s.fillna("").tolist()
-    wide = [is_wide(x) for x in texts]
-    out: list = [None] * len(texts)
-    for family, which in ((WIDE, True), (NARROW, False)):
-        rows = [i for i, w in enumerate(wide) if w is which and texts[i]]
-        if rows:
-            for i, keys in zip(rows, family.keys([texts[i] for i in rows])):
-                out[i] = keys
-    rows = [i for i, x in enumerate(texts) if 0 < len(x) <= SHORT_CHARS]
-    if rows:
-        for i, keys in zip(rows, SHORT.keys([texts[i] for i in rows])):
-            out[i] = np.concatenate((out[i], keys))
-    return pd.Series(out)
 
+def maybe_near(a: list[str], b: list[str], k: int, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the pairs of a[i] and b[j] that can be near; no near pair is missing.
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _query_bands(s: pd.Series) -> pd.Series:
-    return pd.Series(list(QUERY.keys(s.fillna("").tolist())))
+    An edit changes at most k shingles, so strings of at most n characters with d edits between them have
+    n - k + 1 - k * d shingles in common, counted with repetition.  The products of the counts by hash are never less
+    than the shingles in common; ``room``, the hashes for each character, says how near they come.  Texts are taken by length, so that those of too different lengths hardly meet.
+    """
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    oa, ob = np.argsort(la, kind="stable"), np.argsort(lb, kind="stable")
+    sorted_b, out, i = lb[ob], [], 0
+    while i < len(oa):
+        width = 1 << (int(la[oa[i]]) * room).bit_length()
+        rows = oa[i : i + max(1, _CELLS // width)]
+        i += len(rows)
+        j, end = np.searchsorted(sorted_b, la[rows[0]] - la[rows[0]] // 5), np.searchsorted(sorted_b, la[rows[-1]] * 5 // 4 + 1, "right")
+        if j >= end:
+            continue
+        x = _counts([a[r] for r in rows], k, width)
+        while j < end:
+            cols = ob[j : min(j + max(1, _CELLS // width), end)]
+            j += len(cols)
+            longer = np.maximum(la[rows][:, None], lb[cols][None, :])
+            most = longer // 5
+            good = np.abs(la[rows][:, None] - lb[cols][None, :]) <= most
+            good &= x @ _counts([b[c] for c in cols], k, width).T >= longer - k + 1 - k * most
+            u, v = np.nonzero(good)
+            out.append((rows[u], cols[v]))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (none, none)
+
+
+def _pair_batches(k: int, room: int):
+    """(id_e, id_t, s_e, s_t) of the pairs of each tile that can be near, from (tile, e, id, s) sorted by tile."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def answer(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            tiles, side, ids, s = (b[c].to_numpy() for c in ("tile", "e", "id", "s"))
+            edges = np.concatenate(([0], np.flatnonzero(tiles[1:] != tiles[:-1]) + 1, [len(tiles)]))
+            got: list[tuple] = []
+            for i, j in zip(edges[:-1], edges[1:]):
+                e = i + np.flatnonzero(side[i:j] == 1)
+                t = i + np.flatnonzero(side[i:j] == 0)
+                if len(e) and len(t):
+                    u, v = maybe_near(s[e].tolist(), s[t].tolist(), k, room)
+                    got.append((e[u], t[v]))
+            for x, y in got:
+                for m in range(0, len(x), 20_000):
+                    u, v = x[m : m + 20_000], y[m : m + 20_000]
+                    yield pd.DataFrame({"id_e": ids[u], "id_t": ids[v], "s_e": s[u], "s_t": s[v]})
+
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            tiles = b["tile"].to_numpy()
+            last = int(np.flatnonzero(tiles == tiles[-1])[0]) if len(tiles) else 0
+            held = b.iloc[last:]
+            if last:
+                yield from answer(b.iloc[:last])
+        if held is not None and len(held):
+            yield from answer(held)
+
+    return run
+
+
+def _pairs_of_tiles(e: DataFrame, t: DataFrame, k: int, room: int) -> DataFrame:
+    """The pairs of e and t (tile, id, s) with the same tile that can be near."""
+    kind = e.schema["id"].dataType.simpleString()
+    both = e.select("tile", F.lit(1).alias("e"), "id", "s").unionByName(t.select("tile", F.lit(0).alias("e"), "id", "s"))
+    both = both.repartition("tile").sortWithinPartitions("tile")
+    return both.mapInPandas(_pair_batches(k, room), f"id_e {kind}, id_t {kind}, s_e string, s_t string")
+
+
+def _chunks(n: Column) -> Column:
+    """Number of chunks of n rows of one side of a tile."""
+    return F.greatest(F.ceil(n / math.isqrt(PAIRS_OF_BUCKET)), F.lit(1)).cast("int")
+
+
+def near_queries(queries: DataFrame) -> DataFrame:
+    """(qe, qt): the keys of all near queries of which the one has rows of dev or test and the other of train.
+
+    Every query meets every other one of the same or an adjacent step of lengths, in tiles of bounded size.
+    """
+    step = F.floor(F.log(F.length("bq").cast("double")) / math.log(STEP)).cast("int")
+    q = queries.select("q", "bq", "k_e", "k_t", step.alias("g"))
+    sizes = q.groupBy("g").agg(F.sum((F.col("k_e") > 0).cast("long")).alias("e"), F.sum((F.col("k_t") > 0).cast("long")).alias("t"))
+    sizes = sizes.select("g", _chunks(F.col("e")).alias("c_e"), _chunks(F.col("t")).alias("c_t"))
+    sides = []
+    for own, other in ("et", "te"):
+        rows = q.where(F.col(f"k_{own}") > 0).withColumn("h", F.explode(F.array(*(F.col("g") + i for i in (-1, 0, 1)))))
+        rows = rows.join(F.broadcast(sizes.select("g", F.col(f"c_{own}").alias("n"))), "g")
+        rows = rows.join(F.broadcast(sizes.select(F.col("g").alias("h"), F.col(f"c_{other}").alias("m"))), "h")
+        rows = rows.withColumn("i", F.pmod(F.xxhash64("q"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        place = ("g", "i", "h", "j") if own == "e" else ("h", "j", "g", "i")
+        sides.append(rows.select(F.concat_ws("/", *(F.col(c).cast("string") for c in place)).alias("tile"), F.col("q").alias("id"), F.col("bq").alias("s")))
+    found = _pairs_of_tiles(*sides, k=2, room=5).where(near(F.col("s_e"), F.col("s_t")))
+    return found.select(F.col("id_e").alias("qe"), F.col("id_t").alias("qt"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -97,7 +176,7 @@ class Overlaps:
             bare_doc_col(F.col("doc")).alias("bd"),
         )
         rows = rows.where((F.col("bq") != "") & (F.col("bd") != "")).withColumn("key", key128(F.col("bq"), F.col("bd")))
-        self.rows = materialize(rows.withColumn("bands", _doc_bands("bd")), "bare")
+        self.rows = materialize(rows, "bare")
         classes = self.rows.groupBy("key").agg(
             F.min("example_id").alias("rep"),
             F.count(F.lit(1)).alias("n"),
@@ -110,64 +189,55 @@ class Overlaps:
         self.members = materialize(members.select("example_id", "split", "dataset", "t", "rep", "n", "n_t", "n_e"), "members")
 
     def candidates(self) -> DataFrame:
-        """Distinct (rep_e, rep_t) of different classes that share a band key.
+        """(id_e, id_t, s_e, s_t): representatives and docs of the classes with near queries whose docs can be near.
 
-        Keys that don't meet rows of both sides are dropped by a count over the keys.  Where a key would give more than
-        PAIRS_OF_BUCKET pairs, its rows are joined by key and a band of the query instead, as queries must be near too;
-        no row is dropped.
+        For each query with rows of dev or test, the docs of those rows meet the docs of the train rows of all near
+        queries, but for docs too short or too long for any of the former.  Where they are many, both sides are cut
+        into chunks of which each meets each.
         """
         later = self.members.where(F.col("example_id") != F.col("rep")).select("example_id")
-        rep = _with_ids(self.rows.select("example_id", "bq", "bands", "key"), later, "left_anti")
+        rep = _with_ids(self.rows.select("example_id", "bq", "bd", "t"), later, "left_anti")
         # a class that stands on one side has the side of its first row; the few others are looked up
-        mixed = _with_ids(self.rows.select("example_id", "bands", "t"), later, "left_anti")
         odd = self.classes.where((F.col("n_t") > 0) & (F.col("n_e") > 0)).select(F.col("rep").alias("example_id"), F.lit(1).alias("both"))
         odd = F.broadcast(odd) if odd.count() <= MOST_BROADCAST else odd
-        both = F.col("both") == 1
-        side = F.when(both, 3).when(F.col("t") == 1, 1).otherwise(2)  # 1 train, 2 dev or test, 3 both
-        mixed = mixed.join(odd, "example_id", "left").select("example_id", side.cast("byte").alias("side"), F.explode("bands").alias("band"))
-        # the rows of either side are counted in one number, so that little is shuffled
-        one = F.when(F.col("side") != 2, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-        two = F.when(F.col("side") != 1, F.lit(1 << 31)).otherwise(F.lit(0).cast("long"))
-        counts = mixed.select("band", (one + two).alias("k")).groupBy("band").agg(F.sum("k").alias("k"))
-        counts = counts.select("band", F.col("k").bitwiseAND((1 << 31) - 1).alias("k_t"), F.shiftright("k", 31).alias("k_e"))
-        counts = materialize(counts.where((F.col("k_t") > 0) & (F.col("k_e") > 0)), "live-bands")
-        known = F.broadcast(counts) if counts.count() <= MOST_BROADCAST // 2 else counts
-        live = mixed.join(known, "band").select(
-            "band",
-            "k_t",
-            "k_e",
-            "example_id",
-            (F.col("side") != 2).cast("int").alias("t"),
-            (F.col("side") != 1).cast("int").alias("e"),
+        both = F.coalesce(F.col("both"), F.lit(0)) == 1
+        rep = rep.join(odd, "example_id", "left").select(
+            F.col("example_id").alias("id"),
+            "bq",
+            key128(F.col("bq")).alias("q"),
+            F.col("bd").alias("s"),
+            F.length("bd").alias("len"),
+            (both | (F.col("t") == 0)).cast("int").alias("e"),
+            (both | (F.col("t") == 1)).cast("int").alias("t"),
         )
-        live = materialize(live, "live-rows")
-        big = F.col("k_t") * F.col("k_e") > PAIRS_OF_BUCKET
-        usual = live.where(~big).withColumn("part", F.lit(0).cast("long"))
-        hot = live.where(big).join(rep.select("example_id", "bq"), "example_id")
-        hot = hot.withColumn("part", F.explode(_query_bands("bq"))).drop("bq")
-        both = usual.select("band", "part", "example_id", "t", "e").unionByName(hot.select("band", "part", "example_id", "t", "e"))
-        a = both.where(F.col("e") == 1).select("band", "part", F.col("example_id").alias("rep_e"))
-        b = both.where(F.col("t") == 1).select("band", "part", F.col("example_id").alias("rep_t"))
-        return a.join(b, ["band", "part"]).where(F.col("rep_e") != F.col("rep_t")).select("rep_e", "rep_t").distinct()
+        on_e = F.when(F.col("e") == 1, F.col("len"))
+        queries = rep.groupBy("q", "bq").agg(F.sum("e").alias("k_e"), F.sum("t").alias("k_t"), F.min(on_e).alias("lo"), F.max(on_e).alias("hi"))
+        queries = materialize(queries, "queries")
+        pairs = materialize(near_queries(queries), "near-queries")
+        e = queries.select(F.col("q").alias("qe"), "k_e", "lo", "hi")
+        pairs = pairs.join(small_or_shuffled(e), "qe").join(small_or_shuffled(queries.select(F.col("q").alias("qt"), "k_t")), "qt")
+        pairs = materialize(pairs.select("qe", "qt", "k_e", "k_t", F.expr("lo - lo div 5").alias("lo"), F.expr("hi * 5 div 4 + 1").alias("hi")), "query-pairs")
+        parts = pairs.groupBy("qe").agg(_chunks(F.max("k_e")).alias("c_e"), _chunks(F.sum("k_t")).alias("c_t"))
+        parts = materialize(parts, "query-parts")
+        own, other = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("c_t", "c_e"))
+        tile = F.concat_ws("/", F.hex("qe"), F.col("i").cast("string"), F.col("j").cast("string")).alias("tile")
+        a = rep.where("e = 1").withColumnRenamed("q", "qe").join(small_or_shuffled(parts), "qe")
+        a = a.withColumn("i", F.pmod(F.xxhash64("id"), F.col("c_e")).cast("int")).withColumn("j", own).select(tile, "id", "s")
+        of = small_or_shuffled(pairs.join(small_or_shuffled(parts), "qe").select("qe", F.col("qt").alias("q"), "lo", "hi", "c_e", "c_t"))
+        b = rep.where("t = 1").join(of, "q").where(F.col("len").between(F.col("lo"), F.col("hi")))
+        b = b.withColumn("j", F.pmod(F.xxhash64("id"), F.col("c_t")).cast("int")).withColumn("i", other).select(tile, "id", "s")
+        return _pairs_of_tiles(a, b, k=3, room=40).where(F.col("id_e") != F.col("id_t"))
 
     def verified(self) -> DataFrame:
         """(rep_e, rep_t, jaccard) of the pairs of different classes whose queries and docs are near.
 
-        Queries are compared first, as they are short.  Of the docs, the exact Jaccard similarity of their shingles
-        must reach LEAST_JACCARD - e edits of n characters leave at least n - 2 - 3e of the shingles, hence about a
-        fifth or more at e = n/5 also when shingles repeat - and the exact edit distance decides.
+        Of the docs, the exact Jaccard similarity of their shingles must reach LEAST_JACCARD - e edits of n characters
+        leave at least n - 2 - 3e of the shingles, hence about a fifth or more at e = n/5 also when shingles repeat -
+        and the exact edit distance decides.
         """
-        found = materialize(self.candidates(), "candidates")
-        q = self.rows.select("example_id", "bq")
-        qa, qb = (q.select(F.col("example_id").alias(f"rep_{x}"), F.col("bq").alias(f"bq_{x}")) for x in "et")
-        found = found.join(qa, "rep_e").join(qb, "rep_t").where(near(F.col("bq_e"), F.col("bq_t")))
-        found = materialize(found.select("rep_e", "rep_t"), "near-queries")
-        ids = found.select(F.col("rep_e").alias("example_id")).unionByName(found.select(F.col("rep_t").alias("example_id"))).distinct()
-        d = _with_ids(self.rows.select("example_id", "bd"), ids, "left_semi")
-        da, db = (d.select(F.col("example_id").alias(f"rep_{x}"), F.col("bd").alias(f"bd_{x}")) for x in "et")
-        found = found.join(da, "rep_e").join(db, "rep_t").withColumn("jaccard", _jaccard3("bd_e", "bd_t"))
-        found = found.where((F.col("jaccard") >= LEAST_JACCARD) & near(F.col("bd_e"), F.col("bd_t")))
-        return found.select("rep_e", "rep_t", "jaccard")
+        found = self.candidates().withColumn("jaccard", _jaccard3("s_e", "s_t"))
+        found = found.where((F.col("jaccard") >= LEAST_JACCARD) & near(F.col("s_e"), F.col("s_t")))
+        return found.select(F.col("id_e").alias("rep_e"), F.col("id_t").alias("rep_t"), "jaccard")
 
     def class_pairs(self) -> DataFrame:
         """verified(), and each class that stands on both sides with itself."""

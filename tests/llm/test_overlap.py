@@ -80,3 +80,27 @@ def test_hot_bucket_loses_nothing(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame(made(1, 2), SCHEMA)
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0 and overlap.report(df.limit(0)).count() == 0
+
+
+def replaced(rnd, s, share):
+    """s with that share of its characters replaced, the places spread over all of it."""
+    s, n = list(s), int(len(s) * share)
+    for i in range(n):
+        at = (2 * i + 1) * len(s) // (2 * n)
+        s[at] = rnd.choice([c for c in "qrstuvwxyz" if c != s[at]])
+    return "".join(s)
+
+
+def test_spread_edits_up_to_a_fifth(spark):
+    """Docs of every length with edits spread over them, up to the limit."""
+    rnd = random.Random(21)
+    rows = []
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for n in (10, 40, 200, 500, 900):
+            for _ in range(2):
+                q, d = ("".join(rnd.choice("abcdefghijklmno") for _ in range(m)) for m in (20, n))
+                rows += [(len(rows), "train", "a", q, d, "k", 1, 2), (len(rows) + 1, "dev", "a", replaced(rnd, q, 0.2), replaced(rnd, d, share), "k", 1, 2)]
+    # the Jaccard bound of short docs is another matter
+    rows = [r for r in rows if len(r[4]) > 10]
+    got = {tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows) and len(got) >= 32
