@@ -130,7 +130,7 @@ def modal_instruction(spark, sf_dir):
 def lpt_shards(spark, sf_dir):
     """Sources of the documents over 8 shards by falling size; a sequential rule, tested on fixtures."""
     d = rows_of(spark, sf_dir, "documents").groupBy("origin_id").agg(F.count(F.lit(1)).alias("n"))
-    return P.lpt_shards(d, "origin_id", "n", 8, buckets=16)
+    return P.lpt_shards(d, "origin_id", "n", 8)
 
 
 @query(f"""WITH {EX} SELECT arg_min(instruction, example_id) AS instruction, min(example_id) AS source_index FROM ex WHERE instruction IS NOT NULL AND trim(instruction, ' ') <> ''""")

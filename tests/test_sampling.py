@@ -40,6 +40,14 @@ def test_lpt(spark):
     assert sorted(r["n"] for r in load.collect()) == [7, 8]
 
 
+def test_lpt_query_has_eight_shards(spark, tmp_path):
+    from rankloom.queries.sampling import lpt_shards
+
+    spark.createDataFrame([(f"o{i}",) for i in range(40)], "origin_id string").write.parquet(str(tmp_path / "documents.parquet"))
+    load = lpt_shards(spark, str(tmp_path)).groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    assert sorted((r["shard"], r["n"]) for r in load) == [(i, 5) for i in range(8)]
+
+
 def test_packed_batches():
     assert list(P.packed_batches([4, 4, 4], 2, 8)) == [[0, 1], [2]]
     assert list(P.packed_batches([4, 4, 4], 3, 0)) == [[0, 1, 2]]
