@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,8 +90,30 @@ class Bands:
         return out
 
 
-def jaccard(a: str, b: str, k: int) -> float:
-    """Exact Jaccard similarity of the sets of k-character shingles."""
-    x = {a[i : i + k] for i in range(max(1, len(a) - k + 1))}
-    y = {b[i : i + k] for i in range(max(1, len(b) - k + 1))}
-    return len(x & y) / len(x | y)
+def multiset_jaccard(a: str, b: str, k: int) -> float:
+    """Exact Jaccard similarity of the k-character shingles, counted with repetition."""
+    x, y = (Counter(s[i : i + k] for i in range(max(1, len(s) - k + 1))) for s in (a, b))
+    return (x & y).total() / (x | y).total()
+
+
+def bitmaps(texts: list[str], k: int, width: int) -> np.ndarray:
+    """For each text a row of width / 64 words: the bits that its k-character shingles set by their hash."""
+    out = np.zeros((len(texts), width // 64), np.uint64)
+    step = max(1, (1 << 24) // width)
+    for i in range(0, len(texts), step):
+        part = texts[i : i + step]
+        h, starts = shingle_hashes(*code_points(part), k)
+        on = np.zeros((len(part), width), bool)
+        on[np.repeat(np.arange(len(part)), np.diff(starts)), (h & np.uint64(width - 1)).astype(np.int64)] = True
+        out[i : i + step] = np.packbits(on, axis=1).view(np.uint64)
+    return out
+
+
+def few_lost(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether at most ``most`` bits of a[u] are missing in b[v], and the other way round.
+
+    An edit takes away at most k shingles of a text, so texts with d edits between them stay within k * d.
+    """
+    x, y = a[u], b[v]
+    common = np.bitwise_count(x & y).sum(1, dtype=np.int32)
+    return np.maximum(np.bitwise_count(a).sum(1, dtype=np.int32)[u], np.bitwise_count(b).sum(1, dtype=np.int32)[v]) - common <= most

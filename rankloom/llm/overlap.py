@@ -1,9 +1,8 @@
-"""Same or near-same records across splits: near queries by exact bounds, then docs of near queries, exact verification."""
+"""Same or near-same records across splits: minwise bands, cross-split candidates, exact Jaccard, exact verification."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,147 +13,207 @@ from pyspark.sql import types as T
 from ..skew import join_counted, key128
 from ..storage import materialize, small_or_shuffled
 from .bare import bare_doc_col, bare_text_col
-from .minhash import code_points, jaccard, shingle_hashes
-
-#: Near strings share at least this part of their shingles of three characters; see ``verified``.
-LEAST_JACCARD = 0.2
-#: Pairs that are compared in one tile.  More are divided into chunks of which each meets each, so nothing is lost.
-PAIRS_OF_BUCKET = 4_000_000
-#: Lengths of near strings differ by at most a factor of 1.25, so they are in the same or adjacent steps of this size.
-STEP = 1.26
-#: Counts that stand in memory at once for one side of a tile.
-_CELLS = 1 << 22
+from .minhash import Bands, bitmaps, few_lost, multiset_jaccard
+
+#: Near texts may differ in a fifth of their characters, which leaves about half of their shingles of two characters
+#: and a third of those of three.  Few minima a key and many keys make a shared key nearly sure at that rate.
+QUERY = Bands(k=2, rows=2, bands=24, seed=13)
+DOC = Bands(k=3, rows=2, bands=40, seed=15)
+#: A short text has too few shingles of three.  Lengths of near texts differ by a fifth at most, so that of two near
+#: texts both are at most SHORT_CHARS long or both at least LONG_CHARS: they have keys of the same family.
+SHORT = Bands(k=2, rows=2, bands=40, seed=16)
+SHORT_CHARS, LONG_CHARS = 30, 24
+#: Pairs, or rows, from which a tile is divided.  How, changes no result.
+PAIRS_OF_TILE, ROWS_OF_TILE = 4_000_000, 40_000
+#: Pairs that are compared at once.
+_BLOCK = 1 << 19
 #: Ids that may be broadcast (8 bytes each); beyond, the same join runs by shuffle.
 MOST_BROADCAST = 400_000
+_QUERY_BITS = 256
 
 
-def _counts(texts: list[str], k: int, width: int) -> np.ndarray:
-    """How many k-character shingles of each text have each hash below ``width``."""
-    h, starts = shingle_hashes(*code_points(texts), k)
-    at = np.repeat(np.arange(len(texts)) * width, np.diff(starts)) + (h & np.uint64(width - 1)).astype(np.int64)
-    return np.bincount(at, minlength=len(texts) * width).reshape(-1, width).astype(np.float32)
+def doc_keys(texts: list[str]) -> list[np.ndarray]:
+    """Band keys of each text, of one family or of both."""
+    out = [np.zeros(0, np.int64)] * len(texts)
+    for family, low, high in ((SHORT, 1, SHORT_CHARS), (DOC, LONG_CHARS, None)):
+        at = [i for i, s in enumerate(texts) if len(s) >= low and (high is None or len(s) <= high)]
+        if at:
+            for i, keys in zip(at, family.keys([texts[i] for i in at])):
+                out[i] = np.concatenate((out[i], keys))
+    return out
 
 
-def maybe_near(a: list[str], b: list[str], k: int, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of the pairs of a[i] and b[j] that can be near; no near pair is missing.
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _doc_bands(s: pd.Series) -> pd.Series:
+    return pd.Series(doc_keys(s.fillna("").tolist()))
 
-    An edit changes at most k shingles, so strings of at most n characters with d edits between them have
-    n - k + 1 - k * d shingles in common, counted with repetition.  The products of the counts by hash are never less
-    than the shingles in common; ``room``, the hashes for each character, says how near they come.  Texts are taken by length, so that those of too different lengths hardly meet.
-    """
-    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-    oa, ob = np.argsort(la, kind="stable"), np.argsort(lb, kind="stable")
-    sorted_b, out, i = lb[ob], [], 0
-    while i < len(oa):
-        width = 1 << (int(la[oa[i]]) * room).bit_length()
-        rows = oa[i : i + max(1, _CELLS // width)]
-        i += len(rows)
-        j, end = np.searchsorted(sorted_b, la[rows[0]] - la[rows[0]] // 5), np.searchsorted(sorted_b, la[rows[-1]] * 5 // 4 + 1, "right")
-        if j >= end:
-            continue
-        x = _counts([a[r] for r in rows], k, width)
-        while j < end:
-            cols = ob[j : min(j + max(1, _CELLS // width), end)]
-            j += len(cols)
-            longer = np.maximum(la[rows][:, None], lb[cols][None, :])
-            most = longer // 5
-            good = np.abs(la[rows][:, None] - lb[cols][None, :]) <= most
-            good &= x @ _counts([b[c] for c in cols], k, width).T >= longer - k + 1 - k * most
-            u, v = np.nonzero(good)
-            out.append((rows[u], cols[v]))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (none, none)
-
-
-def _pair_batches(k: int, room: int):
-    """(id_e, id_t, s_e, s_t) of the pairs of each tile that can be near, from (tile, e, id, s) sorted by tile."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def answer(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            tiles, side, ids, s = (b[c].to_numpy() for c in ("tile", "e", "id", "s"))
-            edges = np.concatenate(([0], np.flatnonzero(tiles[1:] != tiles[:-1]) + 1, [len(tiles)]))
-            got: list[tuple] = []
-            for i, j in zip(edges[:-1], edges[1:]):
-                e = i + np.flatnonzero(side[i:j] == 1)
-                t = i + np.flatnonzero(side[i:j] == 0)
-                if len(e) and len(t):
-                    u, v = maybe_near(s[e].tolist(), s[t].tolist(), k, room)
-                    got.append((e[u], t[v]))
-            for x, y in got:
-                for m in range(0, len(x), 20_000):
-                    u, v = x[m : m + 20_000], y[m : m + 20_000]
-                    yield pd.DataFrame({"id_e": ids[u], "id_t": ids[v], "s_e": s[u], "s_t": s[v]})
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _query_bands(s: pd.Series) -> pd.Series:
+    return pd.Series(list(QUERY.keys(s.fillna("").tolist())))
 
-        for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            tiles = b["tile"].to_numpy()
-            last = int(np.flatnonzero(tiles == tiles[-1])[0]) if len(tiles) else 0
-            held = b.iloc[last:]
-            if last:
-                yield from answer(b.iloc[:last])
-        if held is not None and len(held):
-            yield from answer(held)
 
-    return run
+@F.pandas_udf(T.BinaryType())
+def _query_bits(s: pd.Series) -> pd.Series:
+    return pd.Series([row.tobytes() for row in bitmaps(s.fillna("").tolist(), QUERY.k, _QUERY_BITS)])
 
 
-def _pairs_of_tiles(e: DataFrame, t: DataFrame, k: int, room: int) -> DataFrame:
-    """The pairs of e and t (tile, id, s) with the same tile that can be near."""
-    kind = e.schema["id"].dataType.simpleString()
-    both = e.select("tile", F.lit(1).alias("e"), "id", "s").unionByName(t.select("tile", F.lit(0).alias("e"), "id", "s"))
-    both = both.repartition("tile").sortWithinPartitions("tile")
-    return both.mapInPandas(_pair_batches(k, room), f"id_e {kind}, id_t {kind}, s_e string, s_t string")
+@F.pandas_udf(T.DoubleType())
+def _jaccard3(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([multiset_jaccard(x, y, 3) for x, y in zip(a, b)])
 
 
-def _chunks(n: Column) -> Column:
-    """Number of chunks of n rows of one side of a tile."""
-    return F.greatest(F.ceil(n / math.isqrt(PAIRS_OF_BUCKET)), F.lit(1)).cast("int")
+def near(a: str, b: str) -> Column:
+    """Whether at most a fifth of the longer string's length in single-character edits turns column a into column b."""
+    most = f"(greatest(length({a}), length({b})) div 5)"
+    return F.expr(f"{a} = {b} OR (abs(length({a}) - length({b})) <= {most} AND levenshtein({a}, {b}, CAST({most} AS INT)) >= 0)")
 
 
-def near_queries(queries: DataFrame) -> DataFrame:
-    """(qe, qt): the keys of all near queries of which the one has rows of dev or test and the other of train.
+def _with_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join by example_id; ids is broadcast if its number, which is counted, is small."""
+    return df.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "example_id", how)
 
-    Every query meets every other one of the same or an adjacent step of lengths, in tiles of bounded size.
+
+def _products(groups: np.ndarray, side: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (e, t) of the pairs with side 1 and 0 in one group whose lengths allow them to be near, in blocks.
+
+    Rows come sorted by group, side and length, so that each row of side 1 meets one stretch of rows of side 0.
     """
-    step = F.floor(F.log(F.length("bq").cast("double")) / math.log(STEP)).cast("int")
-    q = queries.select("q", "bq", "k_e", "k_t", step.alias("g"))
-    sizes = q.groupBy("g").agg(F.sum((F.col("k_e") > 0).cast("long")).alias("e"), F.sum((F.col("k_t") > 0).cast("long")).alias("t"))
-    sizes = sizes.select("g", _chunks(F.col("e")).alias("c_e"), _chunks(F.col("t")).alias("c_t"))
-    sides = []
-    for own, other in ("et", "te"):
-        rows = q.where(F.col(f"k_{own}") > 0).withColumn("h", F.explode(F.array(*(F.col("g") + i for i in (-1, 0, 1)))))
-        rows = rows.join(F.broadcast(sizes.select("g", F.col(f"c_{own}").alias("n"))), "g")
-        rows = rows.join(F.broadcast(sizes.select(F.col("g").alias("h"), F.col(f"c_{other}").alias("m"))), "h")
-        rows = rows.withColumn("i", F.pmod(F.xxhash64("q"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        place = ("g", "i", "h", "j") if own == "e" else ("h", "j", "g", "i")
-        sides.append(rows.select(F.concat_ws("/", *(F.col(c).cast("string") for c in place)).alias("tile"), F.col("q").alias("id"), F.col("bq").alias("s")))
-    found = _pairs_of_tiles(*sides, k=2, room=5).where(near(F.col("s_e"), F.col("s_t")))
-    return found.select(F.col("id_e").alias("qe"), F.col("id_t").alias("qt"))
+    new = np.concatenate(([True], groups[1:] != groups[:-1]))
+    ids = np.cumsum(new) - 1
+    ones, zeros = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    # group and length in one number that rises over the rows of side 0
+    wide = int(length.max(initial=0)) * 2 + 2
+    rising = ids[zeros] * wide + length[zeros]
+    n = length[ones]
+    low = np.searchsorted(rising, ids[ones] * wide + (n - n // 5), "left")
+    high = np.searchsorted(rising, ids[ones] * wide + (n * 5 // 4), "right")
+    many = np.maximum(high - low, 0)
+    keep = many > 0
+    ones, low, many = ones[keep], low[keep], many[keep]
+    upto = np.concatenate(([0], np.cumsum(many)))
+    i = 0
+    while i < len(ones):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + _BLOCK, "right")) - 1)
+        m = many[i:j]
+        at = np.arange(upto[j] - upto[i]) - np.repeat(upto[i:j] - upto[i], m)
+        yield np.repeat(ones[i:j], m), zeros[np.repeat(low[i:j], m) + at]
+        i = j
+
+
+def _whole_tiles(answer: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]):
+    """A function for mapInPandas that gives ``answer`` only whole tiles, from rows sorted by tile."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            tiles = b["tile"].to_numpy()
+            if not len(tiles):
+                continue
+            last = int(np.searchsorted(tiles, tiles[-1]))
+            if last:
+                yield from answer(pd.concat([*held, b.iloc[:last]], ignore_index=True))
+                held = []
+            elif held and held[-1]["tile"].iloc[-1] != tiles[0]:
+                yield from answer(pd.concat(held, ignore_index=True))
+                held = []
+            held.append(b.iloc[last:])
+        if held:
+            yield from answer(pd.concat(held, ignore_index=True))
 
-@F.pandas_udf(T.DoubleType())
-def _jaccard3(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaccard(x, y, 3) for x, y in zip(a, b)])
+    return run
 
 
-def near(a: Column, b: Column) -> Column:
-    """Whether at most a fifth of the longer string's length in single-character edits turns one into the other."""
-    most = F.floor(F.greatest(F.length(a), F.length(b)) / 5).cast("int")
-    close = F.abs(F.length(a) - F.length(b)) <= most
-    # the threshold of the built-in takes literals in Python only, so the distance is asked for in bands of the limit
-    exact = F.lit(False)
-    for low, high in ((0, 4), (5, 12), (13, 30), (31, 80), (81, 250), (251, 1000)):
-        d = F.levenshtein(a, b, high)
-        exact = F.when((most >= low) & (most <= high), (d >= 0) & (d <= most)).otherwise(exact)
-    exact = F.when(most > 1000, F.levenshtein(a, b) <= most).otherwise(exact)
-    return F.when(a == b, F.lit(True)).when(~close, F.lit(False)).otherwise(exact)
+def _compared(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Pairs of one bucket; those with bitmaps also by the bound on lost shingles."""
+    b = b.sort_values(["tile", "e", "len"], kind="stable")
+    ids, length = b["id"].to_numpy(), b["len"].to_numpy().astype(np.int64)
+    bits = np.frombuffer(b"".join(b["bits"]), np.uint64).reshape(len(b), -1) if "bits" in b else None
+    for u, v in _products(b["tile"].to_numpy(), b["e"].to_numpy(), length):
+        if bits is not None:
+            good = few_lost(bits, u, bits, v, QUERY.k * (np.maximum(length[u], length[v]) // 5))
+            u, v = u[good], v[good]
+        yield pd.DataFrame({"id_e": ids[u], "id_t": ids[v]}).drop_duplicates()
 
 
-def _with_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join by example_id; ids is broadcast if its number, which is counted, is small."""
-    return df.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "example_id", how)
+def bucket_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (id_e, id_t) of the rows (tile, e, id, len) with one tile, e 1 and 0, and lengths that can be near.
+
+    With a column bits, also of bitmaps that can be near.  A bucket of more than PAIRS_OF_TILE pairs or ROWS_OF_TILE
+    rows is cut into chunks by id, and each chunk of one side meets each of the other, so that nothing is lost.
+    """
+    k_e, k_t = F.sum("e").alias("k_e"), F.sum(1 - F.col("e")).alias("k_t")
+    live = rows.groupBy("tile").agg(k_e, k_t).where("k_e > 0 AND k_t > 0")
+    hot = live.where((F.col("k_e") * F.col("k_t") > PAIRS_OF_TILE) | (F.col("k_e") + F.col("k_t") > ROWS_OF_TILE))
+    side = float(min(PAIRS_OF_TILE**0.5, ROWS_OF_TILE / 2))
+    c = [F.ceil(F.col(x) / side).cast("int").alias(f"c_{x[2:]}") for x in ("k_e", "k_t")]
+    hot = materialize(hot.select("tile", *c), "hot-tiles")
+    one = F.coalesce(F.col("c_e"), F.lit(1)), F.coalesce(F.col("c_t"), F.lit(1))
+    own, other = (F.when(F.col("e") == 1, x).otherwise(y) for x, y in (one, one[::-1]))
+    cut = rows.join(small_or_shuffled(hot), "tile", "left")
+    cut = cut.withColumn("i", F.pmod(F.xxhash64("id"), own).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), other - 1)))
+    place = (F.when(F.col("e") == 1, F.col(x)).otherwise(F.col(y)) for x, y in (("i", "j"), ("j", "i")))
+    keys = [c for c in rows.columns if c != "tile"]
+    cut = cut.select(F.when(F.col("c_e").isNull(), F.col("tile")).otherwise(F.xxhash64("tile", *place)).alias("tile"), *keys)
+    cut = cut.repartition("tile").sortWithinPartitions("tile")
+    return cut.mapInPandas(_whole_tiles(_compared), "id_e long, id_t long").distinct()
+
+
+def near_queries(queries: DataFrame) -> DataFrame:
+    """(qe, qt, k_e, k_t): the keys of all near queries of which one has rows of dev or test and the other of train."""
+    q = queries.select("q", "k_e", "k_t", F.length("bq").alias("len"), _query_bits("bq").alias("bits"), _query_bands("bq").alias("bands"))
+    sides = F.array(*(F.when(F.col(c) > 0, F.lit(e)) for c, e in (("k_e", 1), ("k_t", 0))))
+    rows = q.withColumn("e", F.explode(F.array_compact(sides))).select(F.explode("bands").alias("tile"), "e", F.col("q").alias("id"), "len", "bits")
+    found = materialize(bucket_pairs(rows), "query-pairs")
+    a, b = (queries.select(F.col("q").alias(f"id_{x}"), F.col("bq").alias(f"s_{x}"), f"k_{x}") for x in "et")
+    found = found.join(small_or_shuffled(a), "id_e").join(small_or_shuffled(b), "id_t")
+    return found.where(near("s_e", "s_t")).select(F.col("id_e").alias("qe"), F.col("id_t").alias("qt"), "k_e", "k_t")
+
+
+def _maybe_near(s_e: np.ndarray, s_t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs (s_e[u], s_t[v]) can be near, by the bound on lost shingles; no near pair is missing."""
+    good = np.zeros(len(u), bool)
+    la, lb = (np.fromiter(map(len, s), np.int64, len(s)) for s in (s_e, s_t))
+    longer = np.maximum(la[u], lb[v])
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(longer, 1) * 4)).astype(np.int64))
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        step = max(1, (1 << 24) // int(w))
+        for i in range(0, len(at), step):
+            part = at[i : i + step]
+            (x, x_at), (y, y_at) = (np.unique(z[part], return_inverse=True) for z in (u, v))
+            bits = [bitmaps([s[r] for r in z], DOC.k, int(w)) for s, z in ((s_e, x), (s_t, y))]
+            good[part] = few_lost(bits[0], x_at, bits[1], y_at, DOC.k * (longer[part] // 5))
+    return good
+
+
+def _shared_bands(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The pairs of docs in one tile that share a band key and can be near, with the docs."""
+    ids, s, side = b["id"].to_numpy(), b["s"].to_numpy(), b["e"].to_numpy()
+    length = np.fromiter(map(len, s), np.int64, len(s))
+    _, tile = np.unique(b["tile"].to_numpy(), return_inverse=True)
+    keys = doc_keys(s.tolist())
+    row = np.repeat(np.arange(len(s)), [len(k) for k in keys])
+    with np.errstate(over="ignore"):
+        key = np.concatenate(keys) + tile[row] * np.int64(-7046029254386353131)
+    order = np.lexsort((length[row], side[row], key))
+    row, key = row[order], key[order]
+    seen = [np.unique(u * np.int64(len(s)) + v) for u, v in ((row[x], row[y]) for x, y in _products(key, side[row], length[row]))]
+    pairs = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+    u, v = pairs // len(s), pairs % len(s)
+    good = (ids[u] != ids[v]) & (tile[u] == tile[v])
+    u, v = u[good], v[good]
+    good = _maybe_near(s, s, u, v)
+    u, v = u[good], v[good]
+    for i in range(0, len(u), 5_000):
+        x, y = u[i : i + 5_000], v[i : i + 5_000]
+        yield pd.DataFrame({"id_e": ids[x], "id_t": ids[y], "s_e": s[x], "s_t": s[y]})
+
+
+@F.pandas_udf(T.BooleanType())
+def _can_be_near(a: pd.Series, b: pd.Series) -> pd.Series:
+    at = np.arange(len(a))
+    return pd.Series(_maybe_near(a.to_numpy(), b.to_numpy(), at, at))
 
 
 class Overlaps:
@@ -191,9 +250,9 @@ class Overlaps:
     def candidates(self) -> DataFrame:
         """(id_e, id_t, s_e, s_t): representatives and docs of the classes with near queries whose docs can be near.
 
-        For each query with rows of dev or test, the docs of those rows meet the docs of the train rows of all near
-        queries, but for docs too short or too long for any of the former.  Where they are many, both sides are cut
-        into chunks of which each meets each.
+        Docs of near queries meet in the tile of that query of the two that has more docs, so the fewer docs move.
+        Docs of a tile that share a band key are compared.  The docs of an ordinary tile get their keys there; those
+        of a large one are shuffled by key, without their texts.
         """
         later = self.members.where(F.col("example_id") != F.col("rep")).select("example_id")
         rep = _with_ids(self.rows.select("example_id", "bq", "bd", "t"), later, "left_anti")
@@ -204,39 +263,49 @@ class Overlaps:
         rep = rep.join(odd, "example_id", "left").select(
             F.col("example_id").alias("id"),
             "bq",
-            key128(F.col("bq")).alias("q"),
+            F.xxhash64("bq").alias("q"),
             F.col("bd").alias("s"),
-            F.length("bd").alias("len"),
-            (both | (F.col("t") == 0)).cast("int").alias("e"),
-            (both | (F.col("t") == 1)).cast("int").alias("t"),
+            F.when(both | (F.col("t") == 0), F.lit(1)).otherwise(F.lit(0)).alias("k_e"),
+            F.when(both | (F.col("t") == 1), F.lit(1)).otherwise(F.lit(0)).alias("k_t"),
         )
-        on_e = F.when(F.col("e") == 1, F.col("len"))
-        queries = rep.groupBy("q", "bq").agg(F.sum("e").alias("k_e"), F.sum("t").alias("k_t"), F.min(on_e).alias("lo"), F.max(on_e).alias("hi"))
-        queries = materialize(queries, "queries")
-        pairs = materialize(near_queries(queries), "near-queries")
-        e = queries.select(F.col("q").alias("qe"), "k_e", "lo", "hi")
-        pairs = pairs.join(small_or_shuffled(e), "qe").join(small_or_shuffled(queries.select(F.col("q").alias("qt"), "k_t")), "qt")
-        pairs = materialize(pairs.select("qe", "qt", "k_e", "k_t", F.expr("lo - lo div 5").alias("lo"), F.expr("hi * 5 div 4 + 1").alias("hi")), "query-pairs")
-        parts = pairs.groupBy("qe").agg(_chunks(F.max("k_e")).alias("c_e"), _chunks(F.sum("k_t")).alias("c_t"))
-        parts = materialize(parts, "query-parts")
-        own, other = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("c_t", "c_e"))
-        tile = F.concat_ws("/", F.hex("qe"), F.col("i").cast("string"), F.col("j").cast("string")).alias("tile")
-        a = rep.where("e = 1").withColumnRenamed("q", "qe").join(small_or_shuffled(parts), "qe")
-        a = a.withColumn("i", F.pmod(F.xxhash64("id"), F.col("c_e")).cast("int")).withColumn("j", own).select(tile, "id", "s")
-        of = small_or_shuffled(pairs.join(small_or_shuffled(parts), "qe").select("qe", F.col("qt").alias("q"), "lo", "hi", "c_e", "c_t"))
-        b = rep.where("t = 1").join(of, "q").where(F.col("len").between(F.col("lo"), F.col("hi")))
-        b = b.withColumn("j", F.pmod(F.xxhash64("id"), F.col("c_t")).cast("int")).withColumn("i", other).select(tile, "id", "s")
-        return _pairs_of_tiles(a, b, k=3, room=40).where(F.col("id_e") != F.col("id_t"))
+        queries = materialize(rep.groupBy("q", "bq").agg(F.sum("k_e").alias("k_e"), F.sum("k_t").alias("k_t")), "queries")
+        pairs = near_queries(queries)
+        tile = F.when(F.col("k_e") > F.col("k_t"), F.xxhash64(F.lit(1), "qe")).otherwise(F.xxhash64(F.lit(0), "qt"))
+        pairs = materialize(pairs.withColumn("tile", tile), "near-queries")
+        places = pairs.select("tile", F.lit(1).alias("e"), F.col("qe").alias("q"), F.col("k_e").alias("k"))
+        places = places.unionByName(pairs.select("tile", F.lit(0).alias("e"), F.col("qt").alias("q"), F.col("k_t").alias("k"))).distinct()
+        n_e, n_t = (F.sum(F.when(F.col("e") == x, F.col("k")).otherwise(0)) for x in (1, 0))
+        large = places.groupBy("tile").agg(((n_e * n_t > PAIRS_OF_TILE) | (n_e + n_t > ROWS_OF_TILE)).alias("large"))
+        places = materialize(places.join(large, "tile").select("tile", "e", "q", "large"), "places")
+        sides = F.array_compact(F.array(*(F.when(F.col(c) > 0, F.lit(e)) for c, e in (("k_e", 1), ("k_t", 0)))))
+        rows = rep.select("id", "q", "s", F.explode(sides).alias("e"))
+        usual = rows.join(small_or_shuffled(places.where("NOT large").drop("large")), ["q", "e"])
+        usual = usual.select("tile", "e", "id", "s").repartition("tile").sortWithinPartitions("tile")
+        usual = usual.mapInPandas(_whole_tiles(_shared_bands), "id_e long, id_t long, s_e string, s_t string")
+        return usual.unionByName(self._of_large_tiles(rows.join(small_or_shuffled(places.where("large").drop("large")), ["q", "e"])))
+
+    @staticmethod
+    def _of_large_tiles(rows: DataFrame) -> DataFrame:
+        """candidates() of the rows (tile, e, id, s) of tiles too large for one task."""
+        rows = materialize(rows.select("tile", "e", "id", "s", F.length("s").alias("len"), _doc_bands("s").alias("bands")), "large-tiles")
+        keys = rows.select("tile", "e", "id", "len", F.explode("bands").alias("key")).select(F.xxhash64("tile", "key").alias("tile"), "e", "id", "len")
+        found = materialize(bucket_pairs(keys).where("id_e <> id_t"), "large-pairs")
+        for side, e in (("e", 1), ("t", 0)):
+            docs = rows.where(F.col("e") == e).select(F.col("id").alias(f"id_{side}"), F.col("s").alias(f"s_{side}"))
+            found = found.join(docs.dropDuplicates([f"id_{side}"]), f"id_{side}")
+        return found.where(_can_be_near("s_e", "s_t")).select("id_e", "id_t", "s_e", "s_t")
 
     def verified(self) -> DataFrame:
         """(rep_e, rep_t, jaccard) of the pairs of different classes whose queries and docs are near.
 
-        Of the docs, the exact Jaccard similarity of their shingles must reach LEAST_JACCARD - e edits of n characters
-        leave at least n - 2 - 3e of the shingles, hence about a fifth or more at e = n/5 also when shingles repeat -
-        and the exact edit distance decides.
+        Of the docs, the exact Jaccard similarity of their shingles of three characters, counted with repetition, must
+        be what d edits leave at least: of n characters n - 2 - 3d shingles stay.  Then the exact edit distance decides.
         """
-        found = self.candidates().withColumn("jaccard", _jaccard3("s_e", "s_t"))
-        found = found.where((F.col("jaccard") >= LEAST_JACCARD) & near(F.col("s_e"), F.col("s_t")))
+        found = materialize(self.candidates(), "candidates").withColumn("jaccard", _jaccard3("s_e", "s_t"))
+        n, m = (F.greatest(F.length(c), F.lit(3)) - 2 for c in ("s_e", "s_t"))
+        longer = F.greatest(F.length("s_e"), F.length("s_t"))
+        left = longer - 2 - 3 * F.expr("greatest(length(s_e), length(s_t)) div 5")
+        found = found.where((F.col("jaccard") * (n + m - left) >= left - 1e-6) & near("s_e", "s_t"))
         return found.select(F.col("id_e").alias("rep_e"), F.col("id_t").alias("rep_t"), "jaccard")
 
     def class_pairs(self) -> DataFrame:

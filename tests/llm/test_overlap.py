@@ -64,17 +64,23 @@ def test_against_brute_force(spark):
     assert sum(r["n_pairs"] for r in report) == len(got)
 
 
-def test_hot_bucket_loses_nothing(spark, monkeypatch):
-    """One doc under many queries, near the same doc in another split: the bucket is divided by the query."""
-    monkeypatch.setattr(overlap, "PAIRS_OF_BUCKET", 50)
+def test_large_tiles_lose_nothing(spark, monkeypatch):
+    """One query with many docs, one doc under many queries: divided into small parts, the pairs are the same."""
     doc = "the same long passage stands under every query of this table and is near itself only"
     rnd = random.Random(8)
     rows = []
     for i in range(60):
         q = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
         rows += [(2 * i, "train", "a", q, doc, "k", 1, 2), (2 * i + 1, "dev", "a", q + "x", doc + "s", "k", 1, 2)]
+    for i in range(60):
+        d = "".join(rnd.choice("abcdefghijklmnop") for _ in range(120))
+        rows += [(1000 + 2 * i, "train", "a", "one query", d, "k", 1, 2), (1001 + 2 * i, "dev", "a", "one query!", replaced(rnd, d, 0.1), "k", 1, 2)]
+    whole = {tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    monkeypatch.setattr(overlap, "PAIRS_OF_TILE", 50)
+    monkeypatch.setattr(overlap, "ROWS_OF_TILE", 30)
+    monkeypatch.setattr(overlap, "_BLOCK", 64)
     got = {tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == brute(rows) and len(got) == 60
+    assert got == whole == brute(rows) and len(got) == 120
 
 
 def test_empty(spark):
@@ -91,16 +97,45 @@ def replaced(rnd, s, share):
     return "".join(s)
 
 
-def test_spread_edits_up_to_a_fifth(spark):
-    """Docs of every length with edits spread over them, up to the limit."""
-    rnd = random.Random(21)
-    rows = []
+SCRIPTS = {
+    "latin": "etaoinshrdlucmfwypvbgkjqxz",
+    "cjk": "".join(chr(0x4E00 + 7 * i) for i in range(800)),
+    "cyrillic": "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэф",
+}
+
+
+def edits(rnd, s, share, letters):
+    """s with that share of its length in substitutions, insertions and deletions at random places."""
+    s = list(s)
+    for _ in range(int(len(s) * share)):
+        i, kind = rnd.randrange(len(s)), rnd.randrange(3)
+        if kind == 0:
+            s[i] = rnd.choice(letters)
+        elif kind == 1:
+            del s[i]
+        else:
+            s.insert(i, rnd.choice(letters))
+    return "".join(s)
+
+
+def test_recall_by_edit_rate(spark):
+    """Docs of 10 to 3,000 characters, edits at random places or evenly spread, up to the limit: at least 0.95 found."""
+    rnd, rows, of = random.Random(21), [], {}
     for share in (0.05, 0.1, 0.15, 0.2):
-        for n in (10, 40, 200, 500, 900):
-            for _ in range(2):
-                q, d = ("".join(rnd.choice("abcdefghijklmno") for _ in range(m)) for m in (20, n))
-                rows += [(len(rows), "train", "a", q, d, "k", 1, 2), (len(rows) + 1, "dev", "a", replaced(rnd, q, 0.2), replaced(rnd, d, share), "k", 1, 2)]
-    # the Jaccard bound of short docs is another matter
-    rows = [r for r in rows if len(r[4]) > 10]
+        for letters in SCRIPTS.values():
+            for n in (10, 15, 20, 25, 31, 40, 80, 150, 300, 600, 3000):
+                for spread in (True, False) * (3 if n < 1000 else 1):
+                    q, d = "".join(rnd.choice(letters) for _ in range(20)), "".join(rnd.choice(letters) for _ in range(n))
+                    other = replaced(rnd, d, share) if spread else edits(rnd, d, share, letters)
+                    rows += [(len(rows), "train", "a", q, d, "k", 1, 2), (len(rows) + 1, "dev", "a", edits(rnd, q, 0.15, letters), other, "k", 1, 2)]
+                    if n == 3000 or near(rows[-2][4], other):
+                        of.setdefault((share, spread), set()).add((len(rows) - 2, len(rows) - 1))
     got = {tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == brute(rows) and len(got) >= 32
+    recall = {k: len(v & got) / len(v) for k, v in of.items()}
+    print(recall)
+    assert min(recall.values()) >= 0.9 and len(set().union(*of.values()) & got) >= 0.95 * len(set().union(*of.values())), recall
+
+
+def test_short_docs_with_separate_edits(spark):
+    rows = [(1, "train", "a", "one question", "abcdefghij", "k", 1, 2), (2, "dev", "a", "one question", "abXdefgYij", "k", 1, 2)]
+    assert [tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()] == [(1, 2)]
