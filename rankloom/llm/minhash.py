@@ -96,13 +96,27 @@ def multiset_jaccard(a: str, b: str, k: int) -> float:
     return (x & y).total() / (x | y).total()
 
 
-def bitmaps(texts: list[str], k: int, width: int) -> np.ndarray:
-    """For each text a row of width / 64 words: the bits that its k-character shingles set by their hash."""
+def _numbered(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The hashes of each text, those of the second, third, ... occurrence changed by that number."""
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.lexsort((h, text))
+    x, t = h[order], text[order]
+    new = np.concatenate(([True], (x[1:] != x[:-1]) | (t[1:] != t[:-1])))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+    out = np.empty_like(h)
+    with np.errstate(over="ignore"):
+        out[order] = mix(x + (np.arange(len(x)) - first).astype(np.uint64))
+    return out
+
+
+def bitmaps(texts: list[str], k: int, width: int, numbered: bool = False) -> np.ndarray:
+    """For each text a row of width / 64 words: the bits set by its k-character shingles, if numbered also by repetitions."""
     out = np.zeros((len(texts), width // 64), np.uint64)
     step = max(1, (1 << 24) // width)
     for i in range(0, len(texts), step):
         part = texts[i : i + step]
         h, starts = shingle_hashes(*code_points(part), k)
+        h = _numbered(h, starts) if numbered else h
         on = np.zeros((len(part), width), bool)
         on[np.repeat(np.arange(len(part)), np.diff(starts)), (h & np.uint64(width - 1)).astype(np.int64)] = True
         out[i : i + step] = np.packbits(on, axis=1).view(np.uint64)
@@ -114,6 +128,54 @@ def few_lost(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray, most: n
 
     An edit takes away at most k shingles of a text, so texts with d edits between them stay within k * d.
     """
-    x, y = a[u], b[v]
-    common = np.bitwise_count(x & y).sum(1, dtype=np.int32)
+    common = np.zeros(len(u), np.int32)
+    for w in range(a.shape[1]):
+        common += np.bitwise_count(a[:, w][u] & b[:, w][v])
     return np.maximum(np.bitwise_count(a).sum(1, dtype=np.int32)[u], np.bitwise_count(b).sum(1, dtype=np.int32)[v]) - common <= most
+
+
+#: Longest text that distances_at_least() takes, and the classes of characters it tells apart.
+WORD, SYMBOLS = 64, 64
+
+
+def symbols(texts: list[str]) -> np.ndarray:
+    """Each text of at most WORD characters as a row of character classes below SYMBOLS."""
+    out = np.zeros((len(texts), WORD), np.uint8)
+    cp, offsets = code_points(texts)
+    n = np.diff(offsets)
+    with np.errstate(over="ignore"):
+        kind = (cp * np.uint32(2654435761)) >> np.uint32(26)
+    out[np.repeat(np.arange(len(texts)), n), np.arange(len(cp)) - np.repeat(offsets[:-1], n)] = kind
+    return out
+
+
+def distances_at_least(a: np.ndarray, la: np.ndarray, u: np.ndarray, b: np.ndarray, lb: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Edit distances of the pairs (a[u], b[v]) of symbols() with lengths la and lb, all from 1 to WORD.
+
+    Bit-parallel dynamic programming, one machine word a pair and all pairs of a block at once.  Characters of one
+    class count as equal, so that the true distance may be more, never less.
+    """
+    places = np.zeros((len(a), SYMBOLS), np.uint64)
+    for i in range(int(la.max(initial=0))):
+        at = np.flatnonzero(la > i)
+        places[at, a[at, i]] |= np.uint64(1 << i)
+    one, out = np.uint64(1), np.empty(len(u), np.int32)
+    by_length = np.argsort(-lb[v], kind="stable")
+    for k in range(0, len(u), 1 << 15):
+        rows = by_length[k : k + (1 << 15)]
+        p, t, n = u[rows], v[rows], lb[v[rows]]
+        score, top = la[p].astype(np.int32), (la[p] - 1).astype(np.uint64)
+        up, down = np.full(len(rows), np.uint64(2**64 - 1)), np.zeros(len(rows), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(int(n.max(initial=0))):
+                m = int(np.searchsorted(-n, -j, "left"))  # the texts longer than j come first
+                same = places[p[:m], b[t[:m], j]]
+                pv, mv = up[:m], down[:m]
+                x = same | mv
+                d = (((same & pv) + pv) ^ pv) | same
+                ph, mh = mv | ~(d | pv), pv & d
+                score[:m] += ((ph >> top[:m]) & one).astype(np.int32) - ((mh >> top[:m]) & one).astype(np.int32)
+                ph = (ph << one) | one
+                up[:m], down[:m] = (mh << one) | ~(x | ph), ph & x
+        out[rows] = score
+    return out

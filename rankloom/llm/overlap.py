@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..skew import join_counted, key128
 from ..storage import materialize, small_or_shuffled
 from .bare import bare_doc_col, bare_text_col
-from .minhash import Bands, bitmaps, few_lost, multiset_jaccard
+from .minhash import WORD, Bands, bitmaps, distances_at_least, few_lost, multiset_jaccard, symbols
 
 #: Near texts may differ in a fifth of their characters, which leaves about half of their shingles of two characters
 #: and a third of those of three.  Few minima a key and many keys make a shared key nearly sure at that rate.
@@ -54,8 +54,11 @@ def _query_bands(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.BinaryType())
-def _query_bits(s: pd.Series) -> pd.Series:
-    return pd.Series([row.tobytes() for row in bitmaps(s.fillna("").tolist(), QUERY.k, _QUERY_BITS)])
+def _sketch(s: pd.Series) -> pd.Series:
+    """Bitmaps of the characters and of the shingles of two, and the symbols of the first WORD characters."""
+    texts = s.fillna("").tolist()
+    parts = (bitmaps(texts, 1, _QUERY_BITS, True), bitmaps(texts, 2, _QUERY_BITS, True), symbols([x[:WORD] for x in texts]))
+    return pd.Series([b"".join(x) for x in zip(*(map(bytes, p) for p in parts))])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -124,22 +127,36 @@ def _whole_tiles(answer: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]):
     return run
 
 
+def _near_sketches(sketch: np.ndarray, length: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (u, v) that can be near by their sketches: by the bounds on lost shingles, then by the distance."""
+    size = _QUERY_BITS // 8
+    bits = [np.ascontiguousarray(sketch[:, i * size : (i + 1) * size]).view(np.uint64) for i in (0, 1)]
+    chars = sketch[:, 2 * size :]
+    for k in (1, 2):
+        good = few_lost(bits[k - 1], u, bits[k - 1], v, k * (np.maximum(length[u], length[v]) // 5))
+        u, v = u[good], v[good]
+    short = (length[u] <= WORD) & (length[v] <= WORD)
+    good = np.ones(len(u), bool)
+    x, y = u[short], v[short]
+    good[short] = distances_at_least(chars, np.minimum(length, WORD), x, chars, length, y) <= np.maximum(length[x], length[y]) // 5
+    return u[good], v[good]
+
+
 def _compared(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Pairs of one bucket; those with bitmaps also by the bound on lost shingles."""
+    """Pairs of one bucket; those with sketches, if these can be near."""
     b = b.sort_values(["tile", "e", "len"], kind="stable")
     ids, length = b["id"].to_numpy(), b["len"].to_numpy().astype(np.int64)
-    bits = np.frombuffer(b"".join(b["bits"]), np.uint64).reshape(len(b), -1) if "bits" in b else None
+    sketch = np.frombuffer(b"".join(b["sketch"]), np.uint8).reshape(len(b), -1) if "sketch" in b else None
     for u, v in _products(b["tile"].to_numpy(), b["e"].to_numpy(), length):
-        if bits is not None:
-            good = few_lost(bits, u, bits, v, QUERY.k * (np.maximum(length[u], length[v]) // 5))
-            u, v = u[good], v[good]
+        if sketch is not None:
+            u, v = _near_sketches(sketch, length, u, v)
         yield pd.DataFrame({"id_e": ids[u], "id_t": ids[v]}).drop_duplicates()
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
     """Distinct (id_e, id_t) of the rows (tile, e, id, len) with one tile, e 1 and 0, and lengths that can be near.
 
-    With a column bits, also of bitmaps that can be near.  A bucket of more than PAIRS_OF_TILE pairs or ROWS_OF_TILE
+    With a column sketch, also of sketches that can be near.  A bucket of more than PAIRS_OF_TILE pairs or ROWS_OF_TILE
     rows is cut into chunks by id, and each chunk of one side meets each of the other, so that nothing is lost.
     """
     k_e, k_t = F.sum("e").alias("k_e"), F.sum(1 - F.col("e")).alias("k_t")
@@ -161,9 +178,9 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
 
 def near_queries(queries: DataFrame) -> DataFrame:
     """(qe, qt, k_e, k_t): the keys of all near queries of which one has rows of dev or test and the other of train."""
-    q = queries.select("q", "k_e", "k_t", F.length("bq").alias("len"), _query_bits("bq").alias("bits"), _query_bands("bq").alias("bands"))
+    q = queries.select("q", "k_e", "k_t", F.length("bq").alias("len"), _sketch("bq").alias("sketch"), _query_bands("bq").alias("bands"))
     sides = F.array(*(F.when(F.col(c) > 0, F.lit(e)) for c, e in (("k_e", 1), ("k_t", 0))))
-    rows = q.withColumn("e", F.explode(F.array_compact(sides))).select(F.explode("bands").alias("tile"), "e", F.col("q").alias("id"), "len", "bits")
+    rows = q.withColumn("e", F.explode(F.array_compact(sides))).select(F.explode("bands").alias("tile"), "e", F.col("q").alias("id"), "len", "sketch")
     found = materialize(bucket_pairs(rows), "query-pairs")
     a, b = (queries.select(F.col("q").alias(f"id_{x}"), F.col("bq").alias(f"s_{x}"), f"k_{x}") for x in "et")
     found = found.join(small_or_shuffled(a), "id_e").join(small_or_shuffled(b), "id_t")
