@@ -134,6 +134,13 @@ def few_lost(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray, most: n
     return np.maximum(np.bitwise_count(a).sum(1, dtype=np.int32)[u], np.bitwise_count(b).sum(1, dtype=np.int32)[v]) - common <= most
 
 
+def counts(texts: list[str], k: int, width: int) -> np.ndarray:
+    """How many k-character shingles of each text have each hash below ``width``."""
+    h, starts = shingle_hashes(*code_points(texts), k)
+    at = np.repeat(np.arange(len(texts)) * width, np.diff(starts)) + (h & np.uint64(width - 1)).astype(np.int64)
+    return np.bincount(at, minlength=len(texts) * width).reshape(-1, width).astype(np.int32)
+
+
 #: Longest text that distances_at_least() takes, and the classes of characters it tells apart.
 WORD, SYMBOLS = 64, 64
 

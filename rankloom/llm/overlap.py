@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..skew import join_counted, key128
 from ..storage import materialize, small_or_shuffled
 from .bare import bare_doc_col, bare_text_col
-from .minhash import WORD, Bands, bitmaps, distances_at_least, few_lost, multiset_jaccard, symbols
+from .minhash import WORD, Bands, bitmaps, counts, distances_at_least, few_lost, multiset_jaccard, symbols
 
 #: Near texts may differ in a fifth of their characters, which leaves about half of their shingles of two characters
 #: and a third of those of three.  Few minima a key and many keys make a shared key nearly sure at that rate.
@@ -188,7 +188,10 @@ def near_queries(queries: DataFrame) -> DataFrame:
 
 
 def _maybe_near(s_e: np.ndarray, s_t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Which pairs (s_e[u], s_t[v]) can be near, by the bound on lost shingles; no near pair is missing."""
+    """Which pairs (s_e[u], s_t[v]) can be near by the bounds on lost shingles; no near pair is missing.
+
+    First by the bits of shingles, then what is left by their counts, which tell repetitions apart.
+    """
     good = np.zeros(len(u), bool)
     la, lb = (np.fromiter(map(len, s), np.int64, len(s)) for s in (s_e, s_t))
     longer = np.maximum(la[u], lb[v])
@@ -201,6 +204,15 @@ def _maybe_near(s_e: np.ndarray, s_t: np.ndarray, u: np.ndarray, v: np.ndarray)
             (x, x_at), (y, y_at) = (np.unique(z[part], return_inverse=True) for z in (u, v))
             bits = [bitmaps([s[r] for r in z], DOC.k, int(w)) for s, z in ((s_e, x), (s_t, y))]
             good[part] = few_lost(bits[0], x_at, bits[1], y_at, DOC.k * (longer[part] // 5))
+        at = at[good[at]]
+        step = max(1, (1 << 21) // int(w))
+        for i in range(0, len(at), step):
+            part = at[i : i + step]
+            (x, x_at), (y, y_at) = (np.unique(z[part], return_inverse=True) for z in (u, v))
+            for k in (1, 2, 3):
+                a, b = (counts([s[r] for r in z], k, int(w)) for s, z in ((s_e, x), (s_t, y)))
+                common = np.minimum(a[x_at], b[y_at]).sum(1)
+                good[part] &= np.maximum(la[u[part]], lb[v[part]]) - k + 1 - common <= k * (longer[part] // 5)
     return good
 
 
