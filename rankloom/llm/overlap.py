@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 from ..skew import join_counted, key128
 from ..storage import materialize, small_or_shuffled
 from .bare import bare_doc_col, bare_text_col
-from .minhash import WORD, Bands, bitmaps, counts, distances_at_least, few_lost, multiset_jaccard, symbols
+from .minhash import WORD, Bands, bitmaps, counts, distances_at_least, edit_distance, few_lost, multiset_jaccard, symbols
 
 #: Near texts may differ in a fifth of their characters, which leaves about half of their shingles of two characters
 #: and a third of those of three.  Few minima a key and many keys make a shared key nearly sure at that rate.
-QUERY = Bands(k=2, rows=2, bands=24, seed=13)
+QUERY = Bands(k=2, rows=2, bands=20, seed=13)
 DOC = Bands(k=3, rows=2, bands=40, seed=15)
 #: A short text has too few shingles of three.  Lengths of near texts differ by a fifth at most, so that of two near
 #: texts both are at most SHORT_CHARS long or both at least LONG_CHARS: they have keys of the same family.
@@ -61,9 +61,24 @@ def _sketch(s: pd.Series) -> pd.Series:
     return pd.Series([b"".join(x) for x in zip(*(map(bytes, p) for p in parts))])
 
 
+def similarity(a: str, b: str) -> float | None:
+    """Exact Jaccard similarity of the 3-character shingles, counted with repetition, of two near strings, else null.
+
+    The similarity must be what d edits leave at least: of n characters n - 2 - 3d shingles stay.  Then the exact edit
+    distance decides.
+    """
+    n, m = (max(len(s), 3) - 2 for s in (a, b))
+    most = max(len(a), len(b)) // 5
+    left = max(n, m) - 3 * most
+    found = multiset_jaccard(a, b, 3)
+    if found * (n + m - left) < left - 1e-6 or abs(len(a) - len(b)) > most or edit_distance(a, b, most) > most:
+        return None
+    return found
+
+
 @F.pandas_udf(T.DoubleType())
-def _jaccard3(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([multiset_jaccard(x, y, 3) for x, y in zip(a, b)])
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def near(a: str, b: str) -> Column:
@@ -325,16 +340,9 @@ class Overlaps:
         return found.where(_can_be_near("s_e", "s_t")).select("id_e", "id_t", "s_e", "s_t")
 
     def verified(self) -> DataFrame:
-        """(rep_e, rep_t, jaccard) of the pairs of different classes whose queries and docs are near.
-
-        Of the docs, the exact Jaccard similarity of their shingles of three characters, counted with repetition, must
-        be what d edits leave at least: of n characters n - 2 - 3d shingles stay.  Then the exact edit distance decides.
-        """
-        found = materialize(self.candidates(), "candidates").withColumn("jaccard", _jaccard3("s_e", "s_t"))
-        n, m = (F.greatest(F.length(c), F.lit(3)) - 2 for c in ("s_e", "s_t"))
-        longer = F.greatest(F.length("s_e"), F.length("s_t"))
-        left = longer - 2 - 3 * F.expr("greatest(length(s_e), length(s_t)) div 5")
-        found = found.where((F.col("jaccard") * (n + m - left) >= left - 1e-6) & near("s_e", "s_t"))
+        """(rep_e, rep_t, jaccard) of the pairs of different classes whose queries and docs are near."""
+        found = materialize(self.candidates(), "candidates").withColumn("jaccard", _similarity.asNondeterministic()("s_e", "s_t"))
+        found = found.where(F.col("jaccard").isNotNull())
         return found.select(F.col("id_e").alias("rep_e"), F.col("id_t").alias("rep_t"), "jaccard")
 
     def class_pairs(self) -> DataFrame:
