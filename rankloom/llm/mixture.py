@@ -16,8 +16,8 @@ from .minhash import mix
 from .tokens import VOCABULARY, with_tokens
 
 BLOCK, SHARD_BLOCKS = 256, 256
-#: The exact draw works up to this many blocks; above, a half gets its expectation, and only the rest is drawn.
-EXACT_DRAW = 900_000_000
+#: Shards that are drawn together.
+STRETCH = 64
 
 
 @dataclass(frozen=True)
@@ -65,38 +65,43 @@ def quotas(targets: list[tuple[str, float, int]], tokens: dict[str, int], block:
     return out
 
 
-def _half(colors: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """Counts of n draws without replacement."""
-    total = int(colors.sum())
-    if total <= EXACT_DRAW:
-        return rng.multivariate_hypergeometric(colors, n, method="marginals")
-    base = np.floor(colors * (n / total)).astype(np.int64)
-    rest = n - int(base.sum())
-    while rest > 0:
-        free = colors - base
-        got = np.minimum(rng.multinomial(rest, free / free.sum()), free)
-        base, rest = base + got, rest - int(got.sum())
-    return base
-
-
-def shard_counts(shard: int, shards: int, size: int, colors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(blocks of each source in this shard, blocks of each source in all shards before it).
-
-    The counts are multinomial draws of the sources, conditioned on the totals of the whole mixture: the shards are
-    halved again and again, and each half gets a random part of what the whole has.  A shard walks down to itself
-    alone, with generators seeded by the halves, so all shards agree without a shuffle and the totals come out exactly.
-    """
-    lo, hi, own, before = 0, shards, colors.copy(), np.zeros_like(colors)
+def _fall(part: int, parts: int, colors: np.ndarray, left_half) -> tuple[np.ndarray, np.ndarray]:
+    """What falls on one of many parts, and on all before it, by halving; left_half(lo, mid, hi, own) draws the first half."""
+    lo, hi, own, before = 0, parts, colors.copy(), np.zeros_like(colors)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = _half(own, min(int(own.sum()), (mid - lo) * size), np.random.default_rng([seed, lo, hi]))
-        if shard < mid:
+        left = left_half(lo, mid, hi, own)
+        if part < mid:
             hi, own = mid, left
         else:
             lo, own, before = mid, own - left, before + left
     return own, before
 
 
+def stretch_counts(stretch: int, stretches: int, colors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks of each source in this stretch of shards, blocks of each source in all stretches before it).
+
+    The blocks of a source fall on the stretches by a multinomial draw: a half gets a binomial part of what the whole
+    has.  Every stretch walks down to itself alone, with generators seeded by the halves, so all agree without a
+    shuffle and the totals come out exactly, whatever their size.
+    """
+    return _fall(stretch, stretches, colors, lambda lo, mid, hi, own: np.random.default_rng([seed, lo, hi]).binomial(own, (mid - lo) / (hi - lo)))
+
+
+def shard_counts(shard: int, shards: int, size: int, colors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks of each source in this shard, blocks of each source in all shards before it) of one stretch.
+
+    Multinomial draws of the sources on condition that shards have ``size`` blocks, but for the last, and that the
+    totals are those of the stretch.
+    """
+
+    def draw(lo, mid, hi, own):
+        n = min(int(own.sum()), (mid - lo) * size)
+        return np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(own, n, method="marginals")
+
+    return _fall(shard, shards, colors, draw)
+
+
 def permuted(i: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
     """A pseudorandom permutation of 0..n-1 for each key, at i: a Feistel network, repeated where it leaves the range."""
     bits = max(2, int(n - 1).bit_length())
@@ -118,31 +123,37 @@ def permuted(i: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slots(shares: list[Share], shards: int, size: int, seed: int):
+def _slots(shares: list[Share], stretches: int, size: int, seed: int):
     colors = np.array([s.quota for s in shares], np.int64)
 
+    def shard_rows(shard: int, own: np.ndarray, before: np.ndarray) -> pd.DataFrame:
+        which = np.repeat(np.arange(len(shares)), own)
+        nth = np.concatenate([np.arange(o, o + c) for o, c in zip(before, own)] or [np.zeros(0, np.int64)])
+        order = np.random.default_rng([seed, shard]).permutation(len(which))
+        block, repeat = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        for k, s in enumerate(shares):
+            m = which == k
+            if m.any():
+                repeat[m] = nth[m] // s.blocks
+                block[m] = permuted(nth[m] % s.blocks, s.blocks, repeat[m] * 1009 + k * 7 + seed)
+        return pd.DataFrame(
+            {
+                "shard": np.full(len(which), shard, np.int64),
+                "slot": np.arange(len(which), dtype=np.int32),
+                "source": np.array([s.source for s in shares], object)[which[order]],
+                "block": block[order],
+                "repeat": (repeat[order] + 1).astype(np.int32),
+            }
+        )
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for shard in b["id"].tolist():
-                own, before = shard_counts(shard, shards, size, colors, seed)
-                which = np.repeat(np.arange(len(shares)), own)
-                nth = np.concatenate([np.arange(o, o + c) for o, c in zip(before, own)] or [np.zeros(0, np.int64)])
-                order = np.random.default_rng([seed, shard]).permutation(len(which))
-                block, repeat = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-                for k, s in enumerate(shares):
-                    m = which == k
-                    if m.any():
-                        repeat[m] = nth[m] // s.blocks
-                        block[m] = permuted(nth[m] % s.blocks, s.blocks, repeat[m] * 1009 + k * 7 + seed)
-                yield pd.DataFrame(
-                    {
-                        "shard": np.full(len(which), shard, np.int64),
-                        "slot": np.arange(len(which), dtype=np.int32),
-                        "source": np.array([s.source for s in shares], object)[which[order]],
-                        "block": block[order],
-                        "repeat": (repeat[order] + 1).astype(np.int32),
-                    }
-                )
+            for stretch in b["id"].tolist():
+                all_, first = stretch_counts(stretch, stretches, colors, seed)
+                shards = -(-int(all_.sum()) // size)
+                for i in range(shards):
+                    own, before = shard_counts(i, shards, size, all_, seed + stretch + 1)
+                    yield shard_rows(stretch * 2 * STRETCH + i, own, first + before)
 
     return run
 
@@ -174,11 +185,11 @@ class Mixture:
         return each.select("source", "block", "doc_id", start.alias("start_token"), end.alias("end_token"))
 
     def slots(self) -> DataFrame:
-        """(shard, slot, source, block, repeat): which block stands where."""
+        """(shard, slot, source, block, repeat): which block stands where, in shards of shard_blocks blocks or, at the end of a stretch, less."""
         n = sum(s.quota for s in self.shares)
-        shards = -(-n // self.size)
-        run = _slots(self.shares, shards, self.size, self.seed)
-        return self.spark.range(shards).mapInPandas(run, "shard long, slot int, source string, block long, repeat int")
+        stretches = -(-n // (self.size * STRETCH))
+        run = _slots(self.shares, stretches, self.size, self.seed)
+        return self.spark.range(stretches).mapInPandas(run, "shard long, slot int, source string, block long, repeat int")
 
     def rows(self) -> DataFrame:
         """(shard, slot, source, block, repeat, doc_id, start_token, end_token): the mixture as stretches of documents.
@@ -186,7 +197,8 @@ class Mixture:
         No stretch is used more than max_repeats times.  The stretches of a slot in order of the source's stream are
         those by block; null sources, sources outside the target, null and empty texts take no part.
         """
-        return self.slots().join(self.blocks(), ["source", "block"]).select(
+        # the planner takes the slots for as small as their shards are few, so it must not choose a broadcast
+        return self.slots().hint("merge").join(self.blocks(), ["source", "block"]).select(
             "shard", "slot", "source", "block", "repeat", "doc_id", "start_token", "end_token"
         )
 

@@ -15,9 +15,7 @@ def test_quotas():
     assert X.quotas([], {}) == [] and X.quotas([("a", None, None)], {"a": 5})[0].quota == 0
 
 
-@pytest.mark.parametrize("exact", [10**9, 300])
-def test_shards_share_out_the_quotas(monkeypatch, exact):
-    monkeypatch.setattr(X, "EXACT_DRAW", exact)
+def test_shards_share_out_the_quotas():
     colors, size = np.array([700, 200, 0, 77]), 64
     shards = -(-int(colors.sum()) // size)
     parts = [X.shard_counts(i, shards, size, colors, 5) for i in range(shards)]
@@ -29,6 +27,16 @@ def test_shards_share_out_the_quotas(monkeypatch, exact):
     assert len({tuple(own) for own, _ in parts}) > 3  # drawn, not dealt out
 
 
+def test_stretches_share_out_any_total():
+    for colors in (np.array([700, 200, 0, 77]), np.array([7 * 10**12, 3 * 10**9, 0, 5])):
+        parts = [X.stretch_counts(i, 13, colors, 5) for i in range(13)]
+        total = np.zeros(4, np.int64)
+        for own, before in parts:
+            assert (before == total).all() and (own >= 0).all()
+            total += own
+        assert (total == colors).all() and all(abs(own[0] - colors[0] / 13) < 8 * (colors[0] / 13) ** 0.5 for own, _ in parts)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 257, 1000])
 def test_permutation(n):
     i = np.arange(n)
@@ -56,6 +64,7 @@ def test_operator(spark):
     for r in got:
         per_slot[r["shard"], r["slot"]] = per_slot.get((r["shard"], r["slot"]), 0) + r["end_token"] - r["start_token"]
     assert max(per_slot.values()) <= 8
+    assert "BroadcastExchange" not in m.rows()._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[0]
     shares = {r["source"]: r for r in m.reached().collect()}
     assert shares["none"]["tokens_taken"] == 0 and shares["none"]["reached_share"] == 0.0
     for s, w in (("big", 0.6), ("mid", 0.3), ("small", 0.1)):
