@@ -15,7 +15,7 @@ def brute(rows, n):
     return sorted(((*k, i + 1, p) for k, v in groups.items() for i, (_, p) in enumerate(sorted(v)[:n])), key=str)
 
 
-@pytest.mark.parametrize("bands", [1, 2, 24])
+@pytest.mark.parametrize("bands", [1, 2, 4, 24])
 def test_against_brute_force(spark, bands):
     rnd = random.Random(bands)
     score = lambda: rnd.choice([None, float("nan"), float("inf"), float("-inf"), 0.5, 0.5, rnd.random(), -rnd.random()])
