@@ -8,8 +8,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_made: set[str] = set()
+#: Rows and bytes up to which a table that grows with the data is broadcast.
+MOST_ROWS, MOST_BYTES = 500_000, 32 << 20
+_watched: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,45 +28,79 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def session_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one; it is removed when the application ends.
+
+    The file system removes it, with the file systems of the JVM or on ``spark.stop()``, whichever comes first.
+    """
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark).rstrip('/')}/rankloom/{app}"
+    if app not in _watched:
+        _watched.add(app)
+        p, fs = hadoop(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _before_stop(spark, path)
+    return path
+
+
+def _before_stop(spark: SparkSession, path: str) -> None:
+    """Let spark.stop(), and the end of the process, drop the folder first."""
+    stop, context = spark.sparkContext.stop, spark.sparkContext
+
+    def drop_and_stop() -> None:
+        try:
+            p, fs = hadoop(spark, path)
+            fs.delete(p, True)
+        except Exception:  # the JVM has gone already, and has dropped the folder itself
+            pass
+        _watched.discard(context.applicationId)
+        context.stop = stop
+        stop()
+
+    context.stop = drop_and_stop
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(path, file system) of the JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p, fs = hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and return a scan of it.
 
     Later stages read the table instead of running df again, column by column, and the loss of an executor loses
-    nothing of it.  The tables are removed when the session's process ends.
+    nothing of it.  The tables are removed when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/rankloom/{label}-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _made:
-        atexit.register(_remove, spark)
-    _made.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _remove(spark: SparkSession) -> None:
-    for path in list(_made):
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended already
-            return
-
-
 def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table of one scale factor."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_or_shuffled(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    """A broadcast hint if df, whose rows are counted and should be few columns of fixed size, has at most most_rows.
+def small_or_shuffled(df: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """A broadcast hint if df, which is counted and measured, has at most most_rows rows and most_bytes bytes.
 
     Beyond that df goes back without a hint, and the same join runs by shuffle.
     """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= most_rows else df
+    n, size = F.count(F.lit(1)), F.lit(0).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0)) + 16 * n
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            size = size + F.coalesce(F.sum(F.length(F.to_json(F.struct(F.col(f"`{f.name}`"))))), F.lit(0)) + 32 * n
+        else:
+            size = size + 8 * n
+    rows, size = df.agg(n, size).first()
+    return F.broadcast(df) if rows <= most_rows and size <= most_bytes else df
