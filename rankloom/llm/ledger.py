@@ -3,70 +3,70 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..skew import bucket_of, join_counted, key128
-from ..storage import materialize, shared_folder
+from ..storage import drop, hadoop, materialize, session_folder
 from .bare import bare_doc_col, bare_text_col
 
-LEDGER_BUCKETS = 64
+#: Keys that one bucket should hold; the number of buckets of a new ledger is a power of two by its first batch.
+KEYS_OF_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 16, 8192
 
 
 def canonical_keys(df: DataFrame, id_col: str = "example_id", also: tuple[str, ...] = ()) -> DataFrame:
-    """(id, key, bucket, *also) of every record that isn't void; key is 128 bits of the bare forms of query and doc.
+    """(id, key, *also) of every record that isn't void; key is 128 bits of the bare forms of query and doc.
 
     Void records - query or doc null, or without a letter or digit - have no key and are left out.
     """
     b = df.select(F.col(id_col), *also, bare_text_col(F.col("query")).alias("_q"), bare_doc_col(F.col("doc")).alias("_d"))
     b = b.where((F.col("_q") != "") & (F.col("_d") != ""))
-    return b.select(id_col, *also, key128(F.col("_q"), F.col("_d")).alias("key")).withColumn(
-        "bucket", bucket_of(F.col("key"), buckets=LEDGER_BUCKETS, seed=3)
-    )
+    return b.select(id_col, *also, key128(F.col("_q"), F.col("_d")).alias("key"))
 
 
 class Ledger:
     """Counts of canonical keys in a folder of bucket tables: (bucket, key, n, keep_id).
 
     ``merge`` adds a batch.  Only the buckets that have keys in the batch are read, full-outer-joined with the batch's
-    own counts and written again, each to a new place; the manifest (one short entry a bucket, a fixed number) then
-    points to the new ones.  A failed merge therefore leaves the ledger as it was, and merging batches in any order
-    gives the same counts; keep_id is the earliest representative, the smallest id of all.  A batch must not be merged
-    twice.  An empty batch changes nothing.
+    own counts and written again, each to a new place; the manifest (one short entry a bucket, their number fixed by
+    the first batch) is then replaced by a rename that overwrites, so that there is always one whole manifest.  A
+    failed merge leaves the ledger as it was, and merging batches in any order gives the same counts; keep_id is the
+    earliest representative, the smallest id of all.  A batch must not be merged twice.  An empty batch changes
+    nothing.  Versions that the manifest names no more are removed, but for those of the merge before, which a reader
+    may still hold.  Without ``path`` the ledger ends with the application.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark = spark
-        self.path = path or f"{shared_folder(spark).rstrip('/')}/rankloom/ledger-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
+        self.spark, self.wanted = spark, buckets
+        self.path = path or f"{session_folder(spark)}/ledger-{uuid.uuid4().hex}"
         self.schema = "key binary, n long, keep_id long"
 
-    def _fs(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def manifest(self) -> dict[str, str]:
-        p, fs = self._fs("manifest.json")
+    def state(self) -> dict:
+        """{"buckets": their number, "at": {bucket: version}, "before": versions of the merge before}."""
+        p, fs = hadoop(self.spark, f"{self.path}/manifest.json")
         if not fs.exists(p):
-            return {}
+            return {"buckets": 0, "at": {}, "before": []}
         got = self.spark.read.option("wholetext", True).text(f"{self.path}/manifest.json").first()
-        return json.loads(got[0]) if got else {}
+        return json.loads(got[0])
 
-    def _point(self, manifest: dict[str, str]) -> None:
-        new, fs = self._fs(f"manifest-{uuid.uuid4().hex}")
+    def _point(self, state: dict) -> None:
+        new, fs = hadoop(self.spark, f"{self.path}/manifest-{uuid.uuid4().hex}")
         out = fs.create(new)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         out.close()
-        old, _ = self._fs("manifest.json")
-        fs.delete(old, False)
-        fs.rename(new, old)
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(new, hadoop(self.spark, f"{self.path}/manifest.json")[0], options)
 
     def read(self, buckets: list[str] | None = None) -> DataFrame:
         """The ledger, or some of its buckets."""
-        m = self.manifest()
-        paths = sorted(f"{self.path}/version={v}/bucket={b}" for b, v in m.items() if buckets is None or b in buckets)
+        at = self.state()["at"]
+        paths = sorted(f"{self.path}/version={v}/bucket={b}" for b, v in at.items() if buckets is None or b in buckets)
         if not paths:
             return self.spark.createDataFrame([], f"bucket int, {self.schema}")
         parts = f"{self.schema}, version string, bucket int"
@@ -74,13 +74,16 @@ class Ledger:
 
     def merge(self, batch: DataFrame, id_col: str = "example_id") -> None:
         """Add a batch of canonical_keys."""
-        new = batch.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("bn"), F.min(id_col).alias("bid"))
-        new = materialize(new, "batch")
-        touched = [str(r["bucket"]) for r in new.select("bucket").distinct().collect()]  # at most LEDGER_BUCKETS
+        new = materialize(batch.groupBy("key").agg(F.count(F.lit(1)).alias("bn"), F.min(id_col).alias("bid")), "batch")
+        state = self.state()
+        keys = 0 if state["buckets"] else new.count()
+        by_size = 1 << max(0, math.ceil(keys / KEYS_OF_BUCKET) - 1).bit_length()
+        buckets = state["buckets"] or self.wanted or min(MOST_BUCKETS, max(LEAST_BUCKETS, by_size))
+        new = new.withColumn("bucket", bucket_of(F.col("key"), buckets=buckets, seed=3))
+        touched = [str(r["bucket"]) for r in new.select("bucket").distinct().collect()]  # at most MOST_BUCKETS
         if not touched:
             return
-        old = self.read(touched)
-        both = old.join(new, ["bucket", "key"], "full_outer").select(
+        both = self.read(touched).join(new, ["bucket", "key"], "full_outer").select(
             "bucket",
             "key",
             (F.coalesce("n", F.lit(0)) + F.coalesce("bn", F.lit(0))).alias("n"),
@@ -88,7 +91,10 @@ class Ledger:
         )
         version = f"v{uuid.uuid4().hex}"
         both.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/version={version}")
-        self._point(self.manifest() | {b: version for b in touched})
+        at = state["at"] | {b: version for b in touched}
+        self._point({"buckets": buckets, "at": at, "before": sorted(set(state["at"].values()))})
+        for old in set(state["before"]) - set(at.values()) - set(state["at"].values()):
+            drop(self.spark, f"{self.path}/version={old}")
 
 
 def arrival_batches(df: DataFrame, when: str, batches: int) -> list[DataFrame]:
@@ -108,7 +114,7 @@ def ledger_of(df: DataFrame, batches: int = 3) -> tuple[DataFrame, Ledger]:
     ledger = Ledger(df.sparkSession)
     for batch in arrival_batches(keys, "loaded_at", batches):
         ledger.merge(batch)
-    return keys.drop("loaded_at", "bucket"), ledger
+    return keys.drop("loaded_at"), ledger
 
 
 def records(df: DataFrame) -> DataFrame:

@@ -56,3 +56,18 @@ def test_ledger_by_batches_in_any_order(spark):
     assert show(whole) == show(parts) and len(show(whole)) == 21
     again = ledger.Ledger(spark, parts.path)
     assert show(again) == show(parts)
+
+
+def test_old_versions_go_and_buckets_follow_size(spark, tmp_path, monkeypatch):
+    keys = ledger.canonical_keys(rows(spark, [(i, f"q{i}", f"d{i % 3}") for i in range(400)]))
+    one = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    for lo in range(0, 400, 100):
+        one.merge(keys.where(f"example_id >= {lo} and example_id < {lo + 100}"))
+    versions = sorted(p.name for p in (tmp_path / "ledger").glob("version=*"))
+    state = one.state()
+    assert len(versions) <= 2 and f"version={next(iter(state['at'].values()))}" in versions and state["buckets"] == 16
+    assert not list((tmp_path / "ledger").glob("manifest-*")) and one.read().count() == 400
+    monkeypatch.setattr(ledger, "KEYS_OF_BUCKET", 10)
+    many = ledger.Ledger(spark)
+    many.merge(keys)
+    assert many.state()["buckets"] == 64 and many.read().count() == 400
