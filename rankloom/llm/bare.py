@@ -36,6 +36,9 @@ _SURELY_OUT = re.compile(
     )
 )
 _LONGEST = max(map(len, FIELD_NAMES))
+_WORD = re.compile(r"[^\W_]")
+#: The first two letters of a name, with what may stand between them before invisible marks are taken out.
+_MAYBE_NAME = re.compile("|".join(rf"{a}[^\w\s]*{b}" for a, b in sorted({n[:2] for n in FIELD_NAMES})), re.I)
 
 
 def bare_text(s: str | None) -> str:
@@ -52,8 +55,11 @@ def _marks(t: str) -> list[tuple[int, int, str]]:
     """(start of the name, start of the value, name) of each place where a field seems to begin."""
     found, p = [], t.find(":")
     while p >= 0:
-        low = max(0, p - _LONGEST - 4)
-        head = t[low:p].rstrip().rstrip("\"'")
+        end = p
+        while end > 0 and t[end - 1].isspace():
+            end -= 1
+        low = max(0, end - _LONGEST - 4)
+        head = t[low:end].rstrip("\"'")
         head = head.lower() if head.isascii() else "".join(c.lower() if c.isascii() else "\0" for c in head)
         for name in FIELD_NAMES:
             if head.endswith(name):
@@ -77,11 +83,17 @@ def named_fields(s: str) -> list[tuple[str, str]] | None:
             pairs = [(str(k).strip().lower(), v) for k, v in obj.items()]
             if all(k in FIELD_NAMES for k, _ in pairs):
                 return [(k, v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)) for k, v in pairs]
-    head = t[:40]
-    if not _FIRST_FIELD.match(head if head.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", t[:200]))):
-        return None
-    if not t.isascii():
+    # a name must be the first word; what stands before it may be long, but its letters show soon in most texts
+    if t.isascii():
+        if not _FIRST_FIELD.match(t):
+            return None
+    else:
+        first = _WORD.search(t)
+        if not first or not _MAYBE_NAME.match(unicodedata.normalize("NFKC", t[first.start() : first.start() + 8 * _LONGEST])):
+            return None
         t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", t))
+        if not _FIRST_FIELD.match(t):
+            return None
     marks = _marks(t)
     if len(marks) < 2:
         return None

@@ -24,6 +24,8 @@ def test_bare_doc_orders_fields():
         "content：Cd  title：A b",
     ]
     assert {bare_doc(f) for f in forms} == {"contentcdtitleab"}
+    # a long ruler before the first name, much space before a colon
+    assert bare_doc("=" * 90 + " title: a b, content" + " " * 40 + ": c d") == bare_doc("—" * 90 + "content: c d, title: A b") == "contentcdtitleab"
     # one field, an unknown name, or a name within a word or inside is plain text
     assert bare_doc("title: A b") == "titleab" and named_fields("see title: a, text: b") is None
     assert bare_doc('{"title": "A b"}') == "titleab" and bare_doc('{"title": "x", "other": "y"}') == "titlexothery"
