@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,60 +22,80 @@ ID_FIELDS = ("id", "_id", "doc_id", "docid", "pid", "corpus_id")
 EVIDENCE_FIELDS, INNER_EVIDENCE = ("dia_id", "dialog_id", "turn_id", "id"), ("evidence", "evidences")
 
 
-def _parts(text: str, separators: str) -> list[str]:
-    for sep in separators[1:]:
-        text = text.replace(sep, separators[0])
-    return [p for x in text.split(separators[0]) if (p := x.strip())]
+@dataclass(frozen=True)
+class Shape:
+    """How ids are written: what separates them in text, whether text may be JSON, and what an object stands for.
+
+    ``inside`` gives the values to look into, or strings of type Id that are ids as they stand.
+    """
+
+    separators: str
+    json_text: bool
+    inside: Callable[[dict], Iterable[object]]
+
+
+class Id(str):
+    """An id that isn't divided any more."""
+
+
+def _scored(obj: dict) -> Iterable[object]:
+    """The id of an object, else its keys but for those with a number that isn't above 0."""
+    named = [obj[k] for k in ID_FIELDS if k in obj]
+    if named:
+        return [Id(x) for x in named[:1] if x is not None]
+    worthless = {k for k, v in obj.items() if pd.notna(n := pd.to_numeric(v if isinstance(v, (str, int, float)) else None, errors="coerce")) and n <= 0}
+    return [Id(k) for k in obj if k not in worthless]
+
+
+def _pointing(obj: dict) -> Iterable[object]:
+    """The turns an evidence object names, and only without any of those what its inner evidence names."""
+    for fields in (EVIDENCE_FIELDS, INNER_EVIDENCE):
+        found = list(evidence_in([obj[k] for k in fields if k in obj]))
+        if found:
+            return map(Id, found)
+    return []
 
 
-def _worth(score: object) -> bool:
-    """Whether the score of a key keeps it: a number over 0, or no number at all."""
+DOCUMENTS = Shape(",", True, _scored)
+EVIDENCE = Shape(",;", False, _pointing)
+
+
+def ids_of(value: object, shape: Shape) -> Iterator[str]:
+    """The ids in a value, in order of writing: a walk over what it holds, from a stack of what is still to be seen."""
+    ahead = [value]
+    while ahead:
+        x = ahead.pop()
+        more: Iterable[object] = ()
+        if isinstance(x, Mapping):
+            more = shape.inside(x)
+        elif isinstance(x, (list, tuple)):
+            more = x
+        elif isinstance(x, str) and not isinstance(x, Id):
+            opened = _opened(x) if shape.json_text else None
+            more = [opened] if opened is not None else map(Id, re.split(f"[{shape.separators}]", x))
+        elif x is not None and x == x and str(x).strip():
+            yield str(x).strip()
+        ahead.extend(reversed(list(more)))
+
+
+def _opened(text: str) -> object:
+    """The JSON array or object that a text is, else None."""
+    if not text.lstrip().startswith(("[", "{")):
+        return None
     try:
-        return float(score) > 0  # type: ignore[arg-type]
-    except (TypeError, ValueError):
-        return True
+        return json.loads(text)
+    except ValueError:
+        return None
 
 
 def ids_in(value: object) -> Iterator[str]:
-    """Document ids in a value in order: of an object its id, else the keys whose scores keep them; of a list those of
-    its elements; of a string those of the JSON in it, else its parts between commas; a number as it is written."""
-    if value is None or value != value:
-        return
-    if isinstance(value, dict):
-        name = next((k for k in ID_FIELDS if k in value), None)
-        if name is None:
-            found = [str(k) for k, score in value.items() if _worth(score)]
-        else:
-            found = [] if value[name] is None else [str(value[name])]
-        yield from (x.strip() for x in found if x.strip())
-    elif isinstance(value, (list, tuple)):
-        for v in value:
-            yield from ids_in(v)
-    elif isinstance(value, str):
-        t = value.strip()
-        if t[:1] in ("[", "{"):
-            try:
-                yield from ids_in(json.loads(t))
-                return
-            except ValueError:
-                pass
-        yield from _parts(t, ",")
-    else:
-        yield str(value)
+    """Document ids: of an object its id or its keys, of text the JSON in it or its parts between commas."""
+    return ids_of(value, DOCUMENTS)
 
 
 def evidence_in(value: object) -> Iterator[str]:
     """Turn ids in evidence: parts between commas and semicolons, elements of lists, the id fields of objects."""
-    if isinstance(value, str):
-        yield from _parts(value, ",;")
-    elif isinstance(value, (int, float)):
-        yield str(value)
-    elif isinstance(value, (list, tuple)):
-        for v in value:
-            yield from evidence_in(v)
-    elif isinstance(value, dict):
-        own = [x for k in EVIDENCE_FIELDS if k in value for x in evidence_in(value[k])]
-        yield from own or [x for k in INNER_EVIDENCE if k in value for x in evidence_in(value[k])]
+    return ids_of(value, EVIDENCE)
 
 
 def _distinct(find):
@@ -92,18 +114,14 @@ def extract_ids(c: Column) -> Column:
     return _distinct(ids_in)(c)
 
 
-def _loaded(x: object) -> Iterator[str]:
-    if isinstance(x, str) and x.strip()[:1] in ("[", "{"):
-        try:
-            return evidence_in(json.loads(x))
-        except ValueError:
-            pass
-    return evidence_in(x)
-
-
 def extract_evidence(c: Column) -> Column:
     """Ordered distinct turn ids of a column that holds evidence as text, or as the JSON of a list or object."""
-    return _distinct(_loaded)(c)
+
+    def found(x: object) -> Iterator[str]:
+        opened = _opened(x) if isinstance(x, str) else None
+        return evidence_in(x if opened is None else opened)
+
+    return _distinct(found)(c)
 
 
 def positives(fields: Sequence[Column]) -> Column:

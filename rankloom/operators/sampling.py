@@ -47,24 +47,34 @@ def split_info(assigned: DataFrame) -> DataFrame:
 
 
 def split_from_assignment(rows: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(source_index, split): by group key or query of the assignment, train before dev before test; else train.
+    """(source_index, split): by row number, group key or query of the assignment, train before dev before test.
 
-    assigned has key and split; several entries of a key count by their priority.
+    assigned has key and split and, for rows named by number, index; rows then has index as well.  Several entries of
+    one row count by the order of the splits; a row that none names is of train.
     """
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "dev", 1).when(F.col("split") == "test", 2)
-    best = assigned.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(rank).alias("_p"))
-    a = best.select(F.col("key").alias("group_key"), F.col("_p").alias("_a"))
-    b = best.select(F.col("key").alias("query"), F.col("_p").alias("_q"))
-    got = rows.join(a, "group_key", "left").join(b, "query", "left")
-    p = F.coalesce(F.least("_a", "_q"), F.lit(0))
+    names = {"group_key": "key", "query": "key"} | ({"index": "index"} if "index" in rows.columns and "index" in assigned.columns else {})
+    got, found = rows, []
+    for i, (of_row, of_entry) in enumerate(names.items()):
+        best = assigned.where(F.col(of_entry).isNotNull()).groupBy(F.col(of_entry).alias(of_row)).agg(F.min(rank).alias(f"_p{i}"))
+        got = got.join(best, of_row, "left")
+        found.append(F.col(f"_p{i}"))
+    p = F.coalesce(F.least(*found), F.lit(0))
     return got.select("source_index", F.element_at(F.array(F.lit("train"), F.lit("dev"), F.lit("test")), p + 1).alias("split"))
 
 
 def cap_groups(df: DataFrame, key: str, n: int, order: Sequence[Column], keep: Column | None = None) -> DataFrame:
-    """The first n rows of each group, and those that must be kept; no window is needed for the latter."""
+    """The first n rows of each group, and those that must be kept.
+
+    The limit is a rank of its own, so that each task keeps n rows of a group before the shuffle; rows that must be
+    kept need no rank and stay where they are, and are counted by the rank only to be left out there.
+    """
     w = Window.partitionBy(key).orderBy(*order)
-    first = F.row_number().over(w) <= n
-    return df.withColumn("_keep", first if keep is None else first | keep).where("_keep").drop("_keep")
+    if keep is None:
+        return df.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_i")
+    must = F.coalesce(keep, F.lit(False))
+    first = df.withColumn("_must", must).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n)
+    return df.where(must).unionByName(first.where(~F.col("_must")).drop("_must", "_i"))
 
 
 def sample_groups(df: DataFrame, key: str, target: int, seed: int = 42) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import coerce_label
 from ..functions.text import DOC_FIELDS, group_key, synthesize_doc, utrim
 from ..schemas import ALIASES
+from .order import with_place
 
 
 def read_json_lines(spark: SparkSession, path: str | Sequence[str], on_bad: str = "raise") -> DataFrame:
@@ -18,7 +19,7 @@ def read_json_lines(spark: SparkSession, path: str | Sequence[str], on_bad: str
     on_bad is "raise" for an error that names file and line, "drop" to leave out what isn't a JSON object, or "any" to
     take every JSON value and leave out only what can't be parsed.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("source_index"), F.regexp_replace("value", "^\\ufeff", "").alias("line"))
+    lines = with_place(spark.read.text(path), path).select("file", "source_index", F.regexp_replace("value", "^\\ufeff", "").alias("line"))
     lines = lines.where(utrim(F.col("line")) != "").withColumn("record", F.try_parse_json("line"))
     is_object = F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
     if on_bad == "raise":
@@ -28,19 +29,20 @@ def read_json_lines(spark: SparkSession, path: str | Sequence[str], on_bad: str
     return lines.where(keep).select("source_index", "record")
 
 
-def read_json_document(spark: SparkSession, path: str, keys: Sequence[str] = ("data", "records", "examples", "items"), values: bool = False) -> DataFrame:
-    """(source_index, record) of a JSON file that is an array, an object with an array under one of the keys, or one
+def read_json_document(spark: SparkSession, path: str | Sequence[str], keys: Sequence[str] = ("data", "records", "examples", "items"), values: bool = False) -> DataFrame:
+    """(source_index, record) of JSON files, each an array, an object with an array under one of the keys, or one
     object; with ``values`` the values of an object of objects are the records.  Elements that aren't objects are left out.
     """
-    doc = spark.read.option("wholetext", True).text(path).select(F.try_parse_json(F.regexp_replace("value", "^\\ufeff", "")).alias("v"))
+    files = with_place(spark.read.text(path, wholetext=True), path, "place")
+    doc = files.select("place", F.try_parse_json(F.regexp_replace("value", "^\\ufeff", "")).alias("v"))
     array = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>"))
     for k in keys:
         array = F.coalesce(array, F.try_variant_get("v", f"$.{k}", "array<variant>"))
     if values:
         array = F.coalesce(array, F.map_values(F.try_variant_get("v", "$", "map<string, variant>")))
     array = F.coalesce(array, F.array("v"))
-    rows = doc.select(F.posexplode(array).alias("i", "record")).where(F.schema_of_variant("record").startswith("OBJECT"))
-    return rows.select(F.col("i").cast("long").alias("source_index"), "record")
+    rows = doc.select("place", F.posexplode(array).alias("i", "record")).where(F.schema_of_variant("record").startswith("OBJECT"))
+    return rows.select((F.col("place") + F.col("i")).alias("source_index"), "record")
 
 
 def present(v: str, name: str) -> Column:
@@ -62,8 +64,15 @@ def first_present(v: str, names: Sequence[str]) -> Column:
 
 
 def first_filled(v: str, names: Sequence[str]) -> Column:
-    """Text of the first key whose value isn't null, blank or zero."""
-    return F.coalesce(*[F.nullif(F.nullif(utrim(text_of(v, n)), F.lit("")), F.lit("0")) for n in names])
+    """Text of the first key whose value isn't null, blank, false, or the number zero; the text "0" is a value."""
+
+    def filled(name: str) -> Column:
+        text = F.nullif(utrim(text_of(v, name)), F.lit(""))
+        is_text = F.schema_of_variant(F.try_variant_get(v, f"$['{name}']", "variant")) == "STRING"
+        nothing = text.isin("false", "[]", "{}") | (text.try_cast("double") == 0)
+        return F.when(is_text | ~F.coalesce(nothing, F.lit(False)), text)
+
+    return F.coalesce(*map(filled, names))
 
 
 def to_examples(records: DataFrame, default_instruction: str = "", require_label: bool = True) -> DataFrame:
@@ -95,7 +104,7 @@ def read_assignment(spark: SparkSession, path: str) -> DataFrame:
 
     In the object form, lists of whole numbers name row numbers, others keys.
     """
-    doc = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     rows = doc.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("r"))
     key = F.coalesce(*[F.try_variant_get("r", f"$.{k}", "string") for k in ("group_key", "query_id", "query")])
     a = rows.select(key.alias("key"), F.try_variant_get("r", "$.index", "long").alias("index"), F.try_variant_get("r", "$.split", "string").alias("split"))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import as_float
 from ..functions.text import DOC_FIELDS, clean_cell, clean_text, split_ids, synthesize_doc, utrim
 from ..schemas import ALIASES
-from .records import first_filled, read_json_lines, text_of
+from .order import with_place
+from .records import first_filled, read_json_document, read_json_lines, text_of
 
 
 def read_ground_truth(spark: SparkSession, path: str, query: str = "query", ids: str = "PageId") -> DataFrame:
@@ -20,12 +24,12 @@ def read_ground_truth(spark: SparkSession, path: str, query: str = "query", ids:
     """
     if path.lower().endswith((".xlsx", ".xls")):
         raise ValueError("spreadsheets can't be read here; export the sheet as CSV")
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    df = with_place(spark.read.csv(path, header=True, multiLine=True, escape='"'), path, "_place")
     df = df.withColumnsRenamed({c: c.replace("\ufeff", "").strip() for c in df.columns})
     missing = [c for c in (query, ids) if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
-    got = df.select(F.monotonically_increasing_id().alias("source_index"), clean_cell(F.col(query)).alias("query"), clean_cell(F.col(ids)).alias("raw_page_ids"))
+    got = df.select(F.col("_place").alias("source_index"), clean_cell(F.col(query)).alias("query"), clean_cell(F.col(ids)).alias("raw_page_ids"))
     return got.where("query != ''")
 
 
@@ -47,27 +51,32 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     Whether there is a header is seen from the first line.  Scores that can't be read are 1.
     """
     if path.endswith(".parquet"):
-        df, names = spark.read.parquet(path), None
+        df, names = with_place(spark.read.parquet(path), path, "_place"), None
     else:
-        lines = spark.read.text(path).where(utrim(F.col("value")) != "")
-        head = (lines.first() or [""])[0].lstrip("\ufeff")
+        lines = with_place(spark.read.text(path), path, "_place").where(utrim(F.col("value")) != "")
+        head = (lines.select("value").first() or [""])[0].lstrip("\ufeff")
         sep = "\t" if "\t" in head else "," if "," in head else None
         words = [w.strip().strip('"').lower() for w in (head.split(sep) if sep else head.split())]
         names = words if QREL_HEADER & set(words) else None
         if names:
-            df = spark.read.csv(path, header=True, sep=sep or " ")
+            df = with_place(spark.read.csv(path, header=True, sep=sep or " "), path, "_place")
             df = df.withColumnsRenamed({c: c.replace("\ufeff", "").strip() for c in df.columns})
         else:
             part = F.split(utrim(F.col("value")), r"\s+" if sep != "," else ",")
             long = F.size(part) >= 4
-            df = lines.select(F.get(part, F.lit(0)).alias("qid"), F.when(long, F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(1))).alias("doc_id"), F.when(long, F.get(part, F.lit(3))).otherwise(F.get(part, F.lit(2))).alias("score"))
+            df = lines.select("_place", F.get(part, F.lit(0)).alias("qid"), F.when(long, F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(1))).alias("doc_id"), F.when(long, F.get(part, F.lit(3))).otherwise(F.get(part, F.lit(2))).alias("score"))
+
+    def zero(c: str):
+        kind = df.schema[c].dataType
+        return F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit(None).cast(kind)
 
     def pick(logical: str):
-        cols = [F.nullif(F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("0")) for c in ALIASES[logical] if c in df.columns]
+        # a number 0 counts as missing, the text "0" is an id
+        cols = [F.nullif(F.nullif(F.col(f"`{c}`"), zero(c)).cast("string"), F.lit("")) for c in ALIASES[logical] if c in df.columns]
         return F.coalesce(*cols) if cols else F.lit(None).cast("string")
 
     score = next((F.col(c) for c in ALIASES["qrel_score"] if c in df.columns), F.lit(1.0))
-    got = df.select(F.monotonically_increasing_id().alias("source_index"), pick("qrel_qid").alias("qid"), pick("qrel_doc").alias("doc_id"), as_float(score.cast("string"), 1.0).alias("score"))
+    got = df.select(F.col("_place").alias("source_index"), pick("qrel_qid").alias("qid"), pick("qrel_doc").alias("doc_id"), as_float(score.cast("string"), 1.0).alias("score"))
     return got.where("qid is not null and doc_id is not null")
 
 
@@ -81,7 +90,7 @@ def read_recall(spark: SparkSession, path: str, id_key: str = "doc_id") -> DataF
 
     Docs without id or without text are left out; the ranks are those of the list as written.
     """
-    doc = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     as_map = doc.where(F.schema_of_variant("v").startswith("OBJECT")).select(F.explode(F.try_variant_get("v", "$", "map<string, variant>")).alias("query", "d"))
     a = as_map.select(F.lit(0).alias("i"), "query", F.posexplode(F.try_variant_get("d", "$", "array<variant>")).alias("rank", "record"))
     rows = doc.where(F.schema_of_variant("v").startswith("ARRAY")).select(F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "record"))
@@ -125,23 +134,33 @@ def read_dialogue_questions(records: DataFrame) -> DataFrame:
 
 def discover_runs(spark: SparkSession, root: str, name: str = "predictions.jsonl") -> DataFrame:
     """(run_name, source_index, record) of the prediction files of all runs under a folder; none is an error."""
-    files = spark.read.text(f"{root}/*/{name}", recursiveFileLookup=False)
-    got = files.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("run_name"), F.monotonically_increasing_id().alias("source_index"), F.try_parse_json("value").alias("record"))
+    files = with_place(spark.read.text(f"{root}/*/{name}", recursiveFileLookup=False), f"{root}/*/{name}")
+    got = files.select(F.url_decode(F.element_at(F.split("file", "/"), -2)).alias("run_name"), "source_index", F.try_parse_json("value").alias("record"))
     return got.where("record is not null")
 
 
 def collect_metrics(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(run_name, record) of metrics files; files that can't be parsed are left out."""
-    doc = spark.read.option("wholetext", True).text(paths)
+    doc = spark.read.text(paths, wholetext=True)
     got = doc.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("run_name"), F.try_parse_json("value").alias("record"))
     return got.where(F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False)))
 
 
 def read_split(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One split from files of one kind: Parquet as columns, JSON lines as VARIANT records; a mixture is an error."""
+    """One split: Parquet files as columns, or JSON files as VARIANT records, JSON lines and documents in any order.
+
+    A document's array, or the values of its object, are its records; what isn't an object is left out of both kinds.
+    Parquet beside JSON, and files of other kinds, are errors.
+    """
     kinds = {p.rsplit(".", 1)[-1].lower() for p in paths}
     if kinds == {"parquet"}:
         return spark.read.parquet(*paths)
     if "parquet" in kinds:
         raise ValueError("a split can't mix Parquet and JSON files")
-    return read_json_lines(spark, list(paths), "any")
+    if not kinds or kinds - {"json", "jsonl"}:
+        raise ValueError(f"a split is made of Parquet files or of JSON files, not of {', '.join(sorted(kinds)) or 'nothing'}")
+    parts = []
+    for i, (kind, group) in enumerate(groupby(paths, lambda p: p.rsplit(".", 1)[-1].lower())):
+        rows = read_json_lines(spark, list(group), "drop") if kind == "jsonl" else read_json_document(spark, list(group), keys=(), values=True)
+        parts.append(rows.withColumn("source_index", F.col("source_index") + F.lit(i << 58)))
+    return reduce(DataFrame.unionByName, parts)
