@@ -49,7 +49,7 @@ class Ledger:
         p, fs = hadoop(self.spark, f"{self.path}/manifest.json")
         if not fs.exists(p):
             return {"buckets": 0, "at": {}, "before": []}
-        got = self.spark.read.option("wholetext", True).text(f"{self.path}/manifest.json").first()
+        got = self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()
         return json.loads(got[0])
 
     def _point(self, state: dict) -> None:
