@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import id_scores, join_ids
 from ..functions.scalar import clip, f1, logit, ratio
 from .rank import _null_safe, average_rank, ranked
 
@@ -119,14 +120,17 @@ def with_cutoffs(df: DataFrame, keys: Sequence[str], betas: Sequence[float] = BE
     expected value is rounded to nine places, and its first maximum decides.
     """
     rows = ranked(df, keys, "s", "sidx", norm=True)
-    cuts = None
+    return rows, _cuts(rows, keys, betas)
+
+
+def _cuts(rows: DataFrame, keys: Sequence[str], betas: Sequence[float]) -> DataFrame:
     best = []
     for i, beta in enumerate(betas):
         b2 = beta * beta
         ef = F.round((1 + b2) * F.col("cum_norm") / (F.lit(b2) * F.col("tot_norm") + F.col("rk")), 9)
         best.append(F.min_by(F.struct(F.lit(beta).alias("beta"), F.col("rk").cast("long").alias("best_k"), ef.alias("expected_fbeta")), F.struct(-ef, F.col("rk"))).alias(f"_b{i}"))
     cuts = rows.groupBy(*keys).agg(*best).select(*keys, F.explode(F.array(*[f"_b{i}" for i in range(len(betas))])).alias("_b"))
-    return rows, cuts.select(*keys, "_b.beta", "_b.best_k", "_b.expected_fbeta")
+    return cuts.select(*keys, "_b.beta", "_b.best_k", "_b.expected_fbeta")
 
 
 def dynamic_beta(df: DataFrame, keys: Sequence[str], threshold: float = THRESHOLD, betas: Sequence[float] = BETAS, exact: bool = False) -> DataFrame:
@@ -190,12 +194,98 @@ def beta_summary(per: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def beta_flat(summary: DataFrame, by: Sequence[str], betas: Sequence[float] = BETAS, names: Sequence[str] = ("avg_f1", "micro_f1")) -> DataFrame:
+#: The figures of each beta that stand in the row of overall figures.
+BETA_FIGURES = (
+    "avg_ideal_top_k", "avg_best_k", "avg_expected_fbeta", "avg_precision", "avg_recall", "avg_f1", "micro_precision", "micro_recall", "micro_f1",
+)
+
+
+def beta_flat(summary: DataFrame, by: Sequence[str], betas: Sequence[float] = BETAS, names: Sequence[str] = BETA_FIGURES) -> DataFrame:
     """One row with beta_0_3_avg_f1 and the like."""
     aggs = [F.max(F.when(F.col("beta") == b, F.col(n))).alias(f"beta_{str(b).replace('.', '_')}_{n}") for b in betas for n in names]
     return summary.groupBy(*by).agg(*aggs)
 
 
+def ideal_summary(per: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Figures of the cut at the number of relevant ids, macro and micro, and the recall of the candidates.
+
+    per is dynamic_beta, exact; as the cut doesn't depend on beta, one of the betas is read.
+    """
+    one = per.where(F.col("beta") == per.agg(F.min("beta")).first()[0]) if "beta" in per.columns else per
+    ideal, true, hit = (F.sum(c) for c in ("candidate_relevant_count", "true_count", "ideal_hit_count"))
+    mp, mr = ratio(hit, ideal), ratio(hit, true)
+    return one.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("num_queries"),
+        r6(F.avg("candidate_relevant_count")).alias("avg_ideal_top_k"),
+        r6(ratio(ideal, true)).alias("candidate_recall"),
+        r6(F.avg("ideal_precision")).alias("ideal_precision"),
+        r6(F.avg("ideal_recall")).alias("ideal_recall"),
+        r6(F.avg("ideal_f1")).alias("ideal_f1"),
+        r6(mp).alias("micro_ideal_precision"),
+        r6(mr).alias("micro_ideal_recall"),
+        r6(f1(mp, mr)).alias("micro_ideal_f1"),
+    )
+
+
+def stored_order_beta(
+    df: DataFrame, keys: Sequence[str], counts: DataFrame | None = None, betas: Sequence[float] = BETAS, exact: bool = False, ids: bool = False
+) -> DataFrame:
+    """Dynamic cutoffs of predictions in the order they were stored in, one row a group and beta.
+
+    df has doc_id, s, is_relevant, and rank and source_rank, which may be null; the order is rank, then the score
+    downwards, then source_rank, nulls last.  counts has the keys and true_count; groups that it lacks count the
+    relevant ids among their predictions.  With ``ids`` the lists of selected ids, of ids with scores, and of hits are
+    added: they hold best_k ids, so they are for reports.
+    """
+    r6 = _shown(exact)
+    far = F.lit(10**9).cast("long")
+    span = df.groupBy(*keys).agg(F.min("s").alias("_lo"), F.max("s").alias("_hi"))
+    norm = F.when(F.col("_hi") == F.col("_lo"), F.lit(0.0)).otherwise((F.col("s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1e-8)))
+    rows = _null_safe(df, span, keys).withColumns(
+        {"_norm": norm, "_order": -F.coalesce(F.col("rank").cast("long"), far).cast("double"), "_tie": F.struct(-F.col("s"), F.coalesce(F.col("source_rank").cast("long"), far))}
+    )
+    rows = ranked(rows.drop("_lo", "_hi"), keys, "_order", "_tie", {"norm": F.col("_norm")})
+    cuts = _cuts(rows, keys, betas)
+    first = rows.where("is_relevant").groupBy(*keys, "doc_id").agg(F.min("rk").alias("first"))
+    group = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidate_count"))
+    group = _left(group, first.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r")), keys).withColumn("recalled_relevant_count", F.coalesce("_r", F.lit(0).cast("long"))).drop("_r")
+    if counts is None:
+        group = group.withColumn("true_count", F.col("recalled_relevant_count"))
+    else:
+        group = _left(group, counts.select(*keys, F.col("true_count").alias("_t")), keys)
+        group = group.withColumn("true_count", F.coalesce("_t", "recalled_relevant_count")).drop("_t")
+    wide = _null_safe(cuts, group, keys)
+    hits = _null_safe(first, wide.select(*keys, "beta", "best_k"), keys).groupBy(*keys, "beta").agg(F.sum((F.col("first") <= F.col("best_k")).cast("long")).alias("_h"))
+    out = _left(wide, hits, [*keys, "beta"]).fillna(0, ["_h"])
+    p, r = ratio(F.col("_h"), F.col("best_k")), ratio(F.col("_h"), F.col("true_count"))
+    shown = []
+    if ids:
+        chosen = _null_safe(rows.select(*keys, "rk", "doc_id", "s", "is_relevant"), cuts.select(*keys, "beta", "best_k"), keys).where(F.col("rk") <= F.col("best_k"))
+        lists = chosen.groupBy(*keys, "beta").agg(F.array_sort(F.collect_list(F.struct("rk", "doc_id", "s", "is_relevant"))).alias("_l"))
+        out = _left(out, lists, [*keys, "beta"])
+        of = lambda rows: F.transform(rows, lambda x: x["doc_id"])
+        shown = [
+            join_ids(of(F.col("_l"))).alias("selected_ids"),
+            id_scores(of(F.col("_l")), F.transform("_l", lambda x: x["s"])).alias("selected_id_scores"),
+            join_ids(of(F.filter("_l", lambda x: x["is_relevant"]))).alias("hit_ids"),
+        ]
+    return out.select(
+        *keys, "beta", "true_count", "candidate_count", "recalled_relevant_count", "best_k", r6(F.col("expected_fbeta")).alias("expected_fbeta"), *shown,
+        F.col("_h").alias("hit_count"), r6(p).alias("precision"), r6(r).alias("recall"), r6(f1(p, r)).alias("f1"),
+    )
+
+
+def stored_order_summary(per: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Macro and micro figures of stored_order_beta, exact, for each beta."""
+    sel, true, hit = (F.sum(c) for c in ("best_k", "true_count", "hit_count"))
+    mp, mr = ratio(hit, sel), ratio(hit, true)
+    means = {"avg_selected_count": "best_k", "avg_expected_fbeta": "expected_fbeta", "avg_precision": "precision", "avg_recall": "recall", "avg_f1": "f1"}
+    return per.groupBy(*by, "beta").agg(
+        F.count(F.lit(1)).alias("num_queries"), *[r6(F.avg(c)).alias(n) for n, c in means.items()], r6(mp).alias("micro_precision"), r6(mr).alias("micro_recall"),
+        r6(f1(mp, mr)).alias("micro_f1"), sel.alias("total_selected"), true.alias("total_true_ids"), hit.alias("total_hits"),
+    )
+
+
 def business(gt: DataFrame, preds: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), beta: float = 0.3, exact: bool = False) -> DataFrame:
     """One row a ground-truth query: counts, hits at the number of its ids, best-k and top-k figures.
 
@@ -234,6 +324,25 @@ def business(gt: DataFrame, preds: DataFrame, ks: Sequence[int] = (1, 3, 5, 10),
     return out.select(*cols)
 
 
+def business_ids(gt: DataFrame, preds: DataFrame) -> DataFrame:
+    """(query, top_ids, top_id_scores, hit_ids, missed_ids) of each ground-truth query, ids joined in order.
+
+    The top are as many rows as the query has ids; hits are those of the top that are right, in their order, misses
+    the ids of the ground truth that aren't in the top, in its order.  The lists are no longer than the ground truth's.
+    """
+    size = gt.select("query", F.size("doc_ids").alias("_n"))
+    top = ranked(preds.join(size, "query"), ["query"], "s", "sidx").where(F.col("rk") <= F.col("_n"))
+    lists = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rk", "doc_id", "s"))).alias("_l"))
+    got = gt.join(lists, "query", "left").withColumn("_ids", F.coalesce(F.transform("_l", lambda x: x["doc_id"]), F.array().cast("array<string>")))
+    return got.select(
+        "query",
+        join_ids(F.col("_ids")).alias("top_ids"),
+        F.coalesce(id_scores(F.col("_ids"), F.transform("_l", lambda x: x["s"])), F.lit("")).alias("top_id_scores"),
+        join_ids(F.filter("_ids", lambda x: F.array_contains(F.col("doc_ids"), x))).alias("hit_ids"),
+        join_ids(F.array_except("doc_ids", "_ids")).alias("missed_ids"),
+    )
+
+
 def business_summary(per: DataFrame, ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
     """Means over all ground-truth queries, and the micro accuracy."""
     names = ["accuracy", "best_k", "expected_fbeta", "best_precision", "best_recall", "best_f1", "best_hit_rate", "mrr"]

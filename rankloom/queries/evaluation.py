@@ -102,7 +102,7 @@ def beta_summary(spark, sf_dir):
     return M.beta_summary(M.dynamic_beta(predictions(spark, sf_dir), KEYS, exact=True), ["run_name"])
 
 
-_FLAT = ", ".join(f"max(CASE WHEN beta = {b} THEN {n} END) AS beta_{str(b).replace('.', '_')}_{n}" for b in M.BETAS for n in ("avg_f1", "micro_f1"))
+_FLAT = ", ".join(f"max(CASE WHEN beta = {b} THEN {n} END) AS beta_{str(b).replace('.', '_')}_{n}" for b in M.BETAS for n in M.BETA_FIGURES)
 
 
 @query(f"WITH {_exact(_BETA)}, {_BS} SELECT run_name, {_FLAT} FROM bf GROUP BY run_name")
@@ -110,6 +110,54 @@ def beta_flat(spark, sf_dir):
     return M.beta_flat(M.beta_summary(M.dynamic_beta(predictions(spark, sf_dir), KEYS, exact=True), ["run_name"]), ["run_name"])
 
 
+@query(f"""WITH {_exact(_BETA)}, o AS (SELECT * FROM db WHERE beta = 0.2::DOUBLE),
+           m AS (SELECT run_name, count(*) AS num_queries, round(avg(candidate_relevant_count), 6) AS avg_ideal_top_k, round(coalesce(sum(candidate_relevant_count) / nullif(sum(true_count), 0), 0.0), 6) AS candidate_recall,
+             round(avg(ideal_precision), 6) AS ideal_precision, round(avg(ideal_recall), 6) AS ideal_recall, round(avg(ideal_f1), 6) AS ideal_f1,
+             coalesce(sum(ideal_hit_count) / nullif(sum(candidate_relevant_count), 0), 0.0) AS mp, coalesce(sum(ideal_hit_count) / nullif(sum(true_count), 0), 0.0) AS mr FROM o GROUP BY run_name)
+           SELECT * EXCLUDE (mp, mr), round(mp, 6) AS micro_ideal_precision, round(mr, 6) AS micro_ideal_recall, round(CASE WHEN mp + mr = 0 THEN 0.0 ELSE 2 * mp * mr / (mp + mr) END, 6) AS micro_ideal_f1 FROM m""")
+def ideal_k_summary(spark, sf_dir):
+    return M.ideal_summary(M.dynamic_beta(predictions(spark, sf_dir), KEYS, exact=True), ["run_name"])
+
+
+def _stored(spark, sf_dir):
+    """Predictions as a run stored them: the retrieval's rank, the score, the place in the file."""
+    p = predictions(spark, sf_dir)
+    return p.select(*KEYS, "doc_id", "s", (F.col("g") >= M.THRESHOLD).alias("is_relevant"), F.col("retrieval_rank").alias("rank"), F.col("sidx").alias("source_rank"), "true_relevant_count")
+
+
+def _stored_beta(spark, sf_dir, **options):
+    p = _stored(spark, sf_dir)
+    counts = p.groupBy(*KEYS).agg(F.max("true_relevant_count").alias("true_count")).where("true_count > 0")
+    return M.stored_order_beta(p.drop("true_relevant_count"), KEYS, counts, **options)
+
+
+_SO = f"""{PR}, rk AS (SELECT *, row_number() OVER (PARTITION BY run_name, gk ORDER BY coalesce(retrieval_rank, 1000000000), s DESC, sidx) AS rk, g >= 0.7 AS rel FROM pr),
+    {_CUTS.format(k='run_name, gk', betas='0.2, 0.3, 0.5, 0.7, 1.0')},
+    ids AS (SELECT run_name, gk, doc_id, min(rk) AS first FROM rk WHERE rel GROUP BY ALL),
+    nr AS (SELECT run_name, gk, count(*) AS c FROM ids GROUP BY ALL),
+    gr AS (SELECT n.*, coalesce(c, 0) AS recalled_relevant_count, CASE WHEN t > 0 THEN t ELSE coalesce(c, 0) END AS true_count
+      FROM (SELECT run_name, gk, count(*) AS candidate_count, max(true_relevant_count) AS t FROM rk GROUP BY ALL) n LEFT JOIN nr ON n.run_name = nr.run_name AND n.gk IS NOT DISTINCT FROM nr.gk),
+    hc AS (SELECT cut.run_name, cut.gk, beta, count(*) AS h FROM cut JOIN ids i ON i.run_name = cut.run_name AND i.gk IS NOT DISTINCT FROM cut.gk AND first <= best_k GROUP BY ALL),
+    pc AS (SELECT cut.run_name, cut.gk, cut.beta, true_count, candidate_count, recalled_relevant_count, best_k, expected_fbeta, coalesce(h, 0) AS hit_count,
+      coalesce(h / nullif(best_k, 0), 0.0) AS p, coalesce(h / nullif(true_count, 0), 0.0) AS r FROM cut JOIN gr ON cut.run_name = gr.run_name AND cut.gk IS NOT DISTINCT FROM gr.gk
+      LEFT JOIN hc ON hc.run_name = cut.run_name AND hc.gk IS NOT DISTINCT FROM cut.gk AND hc.beta = cut.beta),
+    db AS (SELECT * EXCLUDE (p, r), round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM pc)"""
+
+
+@query(f"WITH {_SO} SELECT * FROM db")
+def beta_matrix_per_query(spark, sf_dir):
+    return _stored_beta(spark, sf_dir)
+
+
+@query(f"""WITH {_exact(_SO)}, m AS (SELECT run_name, beta, count(*) AS num_queries, round(avg(best_k), 6) AS avg_selected_count, round(avg(expected_fbeta), 6) AS avg_expected_fbeta,
+             round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall, round(avg(f1), 6) AS avg_f1, coalesce(sum(hit_count) / nullif(sum(best_k), 0), 0.0) AS mp,
+             coalesce(sum(hit_count) / nullif(sum(true_count), 0), 0.0) AS mr, CAST(sum(best_k) AS BIGINT) AS total_selected, CAST(sum(true_count) AS BIGINT) AS total_true_ids, CAST(sum(hit_count) AS BIGINT) AS total_hits
+             FROM db GROUP BY run_name, beta)
+           SELECT * EXCLUDE (mp, mr), round(mp, 6) AS micro_precision, round(mr, 6) AS micro_recall, round(CASE WHEN mp + mr = 0 THEN 0.0 ELSE 2 * mp * mr / (mp + mr) END, 6) AS micro_f1 FROM m""")
+def beta_matrix_runs(spark, sf_dir):
+    return M.stored_order_summary(_stored_beta(spark, sf_dir, exact=True), ["run_name"])
+
+
 def ground_truth(spark, sf_dir):
     """One row a query: ordered distinct ids of all its rows, raw cells joined."""
     gt = rows_of(spark, sf_dir, "gt_items").where("query is not null and trim(query) != ''")
@@ -166,6 +214,16 @@ def business_metrics(spark, sf_dir):
     return M.business(*_business_inputs(spark, sf_dir))
 
 
+@query(f"""WITH {_BIN}, g AS (SELECT query, list(doc_id ORDER BY doc_id) AS ids FROM tr GROUP BY query),
+           t AS (SELECT rk.query, list(doc_id ORDER BY rk) AS ids, string_agg(doc_id || ':' || printf('%.6f', s), '，' ORDER BY rk) AS sc FROM rk JOIN lc USING (query) WHERE rk <= label_count GROUP BY rk.query)
+           SELECT g.query, coalesce(array_to_string(t.ids, '，'), '') AS top_ids, coalesce(sc, '') AS top_id_scores,
+             coalesce(array_to_string(list_filter(t.ids, lambda x: list_contains(g.ids, x)), '，'), '') AS hit_ids,
+             array_to_string(list_filter(g.ids, lambda x: NOT list_contains(coalesce(t.ids, []), x)), '，') AS missed_ids FROM g LEFT JOIN t ON g.query = t.query""")
+def business_ids(spark, sf_dir):
+    gt, preds = _business_inputs(spark, sf_dir)
+    return M.business_ids(gt, preds)
+
+
 _BNAMES = ["accuracy", "best_k", "expected_fbeta", "best_precision", "best_recall", "best_f1", "best_hit_rate", "mrr"]
 _BNAMES += [f"{m}_{k}" for k in (1, 3, 5, 10) for m in ("precision", "recall", "f1", "hit_rate")]
 
