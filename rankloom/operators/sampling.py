@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import _null_safe
+from .rank import _null_safe, ranked
 from .retrieval import hash_order
 
 
@@ -124,22 +124,64 @@ def random_negatives(queries: DataFrame, positives: DataFrame, corpus: DataFrame
     return got.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n).select("qid", "doc_id", "pos")
 
 
-def listwise_export(df: DataFrame, key: str, threshold: float = 0.7, min_group: int = 2, max_pos: int = 0, max_neg: int = 0) -> DataFrame:
-    """Rows chosen as positive or negative of their group (side, place): label at the threshold, else the best row.
+STRATEGIES = ("threshold_or_top1", "threshold", "top1")
 
-    Groups under min_group rows, and those without any negative, are left out; 0 sets no cap.
+
+def listwise_export(
+    df: DataFrame, key: str, threshold: float = 0.7, min_group: int = 2, max_pos: int = 0, max_neg: int = 0,
+    strategy: str = "threshold_or_top1", negative_threshold: float | None = None, by_label: bool = False,
+) -> DataFrame:
+    """Rows chosen as positive or negative of their group (side, place), from rows with g and sidx.
+
+    Positive are the rows at the threshold; with threshold_or_top1 the best row where there is none, with top1 only
+    the best.  Negative are the others under negative_threshold, which is the threshold by default, or all others
+    where there is none under it.  Groups under min_group rows, or without a side, are left out; 0 sets no cap.  Places go
+    by sidx, or by label downwards first.  What a group needs comes from counts, and places from bands (``ranked``), so
+    no task sorts a whole group.
     """
-    w = Window.partitionBy(key).orderBy(F.desc("g"), "sidx")
-    stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col("g") >= threshold).cast("int")).alias("_p"))
-    rows = _null_safe(df.withColumn("_top", F.row_number().over(w)), stats, [key]).where(F.col("_n") >= min_group)
-    positive = (F.col("g") >= threshold) | ((F.col("_p") == 0) & (F.col("_top") == 1))
-    rows = rows.withColumn("side", F.when(positive, "positive").otherwise("negative"))
-    place = Window.partitionBy(key, "side").orderBy("sidx")
-    rows = rows.withColumn("place", F.row_number().over(place))
+    if strategy not in STRATEGIES:
+        raise ValueError(f"the strategy is one of {', '.join(STRATEGIES)}")
+    rows = _listwise_rows(df, key, threshold, strategy, negative_threshold)
+    rows = rows.where((F.col("_n") >= min_group) & F.col("side").isNotNull() & (F.col("_p") > 0) & (F.col("_n") > F.col("_p")))
+    rows = rows.withColumns({"_o": F.col("g") if by_label else -F.col("sidx").cast("double"), "_side": F.col("side")})
+    placed = ranked(rows, [key, "_side"], "_o", "sidx").withColumnRenamed("rk", "place")
     for side, most in (("positive", max_pos), ("negative", max_neg)):
         if most:
-            rows = rows.where((F.col("side") != side) | (F.col("place") <= most))
-    return rows.where((F.col("_p") < F.col("_n")) | ((F.col("_p") == 0) & (F.col("_n") > 1))).drop("_n", "_p", "_top")
+            placed = placed.where((F.col("side") != side) | (F.col("place") <= most))
+    return placed.select(*df.columns, "side", F.col("place").cast("int").alias("place"))
+
+
+def _listwise_rows(df: DataFrame, key: str, threshold: float, strategy: str, negative_threshold: float | None) -> DataFrame:
+    """df with side, null for rows that are neither, and of its group _n rows, _p positive."""
+    t, low = F.lit(threshold), F.lit(threshold if negative_threshold is None else negative_threshold)
+    over = F.col("g") >= t
+    best = F.min(F.struct((-F.col("g")).alias("a"), F.col("sidx").alias("b"), (over & (F.col("g") >= low)).alias("c"), over.alias("d"), (F.col("g") < low).alias("e")))
+    stats = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(over.cast("long")).alias("_over"), F.sum((F.col("g") < low).cast("long")).alias("_low"),
+        F.sum((over & (F.col("g") < low)).cast("long")).alias("_both"), best.alias("_best"),
+    )
+    only_top = F.lit(strategy == "top1") | (F.lit(strategy == "threshold_or_top1") & (F.col("_over") == 0))
+    # positives, and rows under the negative threshold that aren't positive
+    stats = stats.withColumn("_p", F.when(only_top, 1).otherwise(F.col("_over")).cast("long"))
+    stats = stats.withColumn("_under", F.when(only_top, F.col("_low") - F.col("_best.e").cast("long")).otherwise(F.col("_low") - F.col("_both")))
+    rows = _null_safe(df, stats.withColumn("_top", F.when(only_top, F.col("_best.b"))), [key])
+    positive = F.when(F.col("_top").isNotNull(), F.col("sidx") == F.col("_top")).when(F.col("_p") == 0, F.lit(False)).otherwise(over)
+    side = F.when(positive, "positive").when((F.col("_under") == 0) | (F.col("g") < low), "negative")
+    return rows.withColumn("side", side)
+
+
+def listwise_stats(df: DataFrame, key: str, threshold: float = 0.7, min_group: int = 2, strategy: str = "threshold_or_top1", negative_threshold: float | None = None) -> DataFrame:
+    """One row: examples, groups, exported groups, and how many groups were left out, each for its first reason."""
+    rows = _listwise_rows(df, key, threshold, strategy, negative_threshold)
+    g = rows.groupBy(key).agg(F.max("_n").alias("n"), F.max("_p").alias("p"))
+    small = F.col("n") < min_group
+    reason = F.when(small, "small").when(F.col("p") == 0, "no_positive").when(F.col("n") == F.col("p"), "no_negative").otherwise("")
+    of = lambda x: F.sum((reason == x).cast("long"))
+    return g.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("num_examples"), F.count(F.lit(1)).alias("num_query_groups"), F.coalesce(of(""), F.lit(0)).alias("num_exported_groups"),
+        F.coalesce(of("small"), F.lit(0)).alias("skipped_small_groups"), F.coalesce(of("no_positive"), F.lit(0)).alias("skipped_no_positive"),
+        F.coalesce(of("no_negative"), F.lit(0)).alias("skipped_no_negative"),
+    )
 
 
 def modal_value(df: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -120,6 +120,30 @@ def export_stats(spark, sf_dir):
     return g.agg(F.count(F.lit(1)).alias("num_groups"), *cols)
 
 
+def _groups(spark, sf_dir):
+    return examples(spark, sf_dir).where("gk is not null").select(F.col("example_id").alias("sidx"), "gk", F.coalesce(F.col("labels") / 10, F.lit(0.0)).alias("g"))
+
+
+@query(f"""WITH {EX}, x AS (SELECT example_id AS sidx, gk, coalesce(labels / 10, 0.0) AS g FROM ex WHERE gk IS NOT NULL),
+           t AS (SELECT *, row_number() OVER (PARTITION BY gk ORDER BY g DESC, sidx) = 1 AS pos, count(*) OVER (PARTITION BY gk) AS n FROM x),
+           u AS (SELECT *, sum((NOT pos AND g < 0.3)::INT) OVER (PARTITION BY gk) AS under FROM t),
+           k AS (SELECT sidx, gk, g, CASE WHEN pos THEN 'positive' WHEN under = 0 OR g < 0.3 THEN 'negative' END AS side FROM u WHERE n >= 3),
+           r AS (SELECT sidx, gk, side, CAST(row_number() OVER (PARTITION BY gk, side ORDER BY g DESC, sidx) AS INTEGER) AS place FROM k WHERE side IS NOT NULL)
+           SELECT * FROM r WHERE side = 'positive' OR place <= 4""")
+def listwise_top1(spark, sf_dir):
+    """The best row of each group against those under another threshold, by label."""
+    got = P.listwise_export(_groups(spark, sf_dir), "gk", min_group=3, max_neg=4, strategy="top1", negative_threshold=0.3, by_label=True)
+    return got.select("sidx", "gk", "side", "place")
+
+
+@query(f"""WITH {EX}, g AS (SELECT gk, count(*) AS n, count(*) FILTER (coalesce(labels / 10, 0.0) >= 0.7) AS p FROM ex WHERE gk IS NOT NULL GROUP BY gk)
+           SELECT CAST(sum(n) AS BIGINT) AS num_examples, count(*) AS num_query_groups, count(*) FILTER (n >= 2 AND p > 0 AND n > p) AS num_exported_groups, count(*) FILTER (n < 2) AS skipped_small_groups,
+             count(*) FILTER (n >= 2 AND p = 0) AS skipped_no_positive, count(*) FILTER (n >= 2 AND p > 0 AND n = p) AS skipped_no_negative FROM g""")
+def export_skips(spark, sf_dir):
+    """How many groups an export leaves out, and why."""
+    return P.listwise_stats(_groups(spark, sf_dir), "gk", strategy="threshold")
+
+
 @query(f"""WITH {EX}, c AS (SELECT gk, instruction, count(*) AS c, min(example_id) AS o FROM ex WHERE instruction IS NOT NULL AND trim(instruction, ' ') <> '' GROUP BY ALL)
            SELECT gk, instruction FROM (SELECT *, row_number() OVER (PARTITION BY gk ORDER BY c DESC, o) AS z FROM c) WHERE z = 1""")
 def modal_instruction(spark, sf_dir):

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import hadoop
+
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     """JSON lines with null fields kept."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error") -> None:
-    """CSV with a header; nested values become JSON.  With columns, those only, absent ones empty."""
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error", mark: bool = False) -> None:
+    """CSV with a header; nested values become JSON.  With columns, those only, absent ones empty.
+
+    With ``mark`` each file begins with a byte order mark, for programs that take text without one for a local code.
+    """
     cols = columns or df.columns
     got = []
     for c in cols:
@@ -22,7 +29,20 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode:
             got.append(F.to_json(c).alias(c))
         else:
             got.append(F.col(c))
-    df.select(*got).write.mode(mode).csv(path, header=True, escape='"')
+    out = df.select(*got)
+    if mark:
+        out = out.withColumnRenamed(out.columns[0], f"\ufeff{out.columns[0]}")
+    out.write.mode(mode).csv(path, header=True, escape='"')
+
+
+def write_json_figures(df: DataFrame, path: str) -> None:
+    """A table of figures, which is small by its making (one row a run and beta), as one indented JSON document."""
+    rows = [r.asDict(recursive=True) for r in df.collect()]
+    text = json.dumps(rows[0] if len(rows) == 1 else rows, ensure_ascii=False, indent=2, default=str)
+    target, fs = hadoop(df.sparkSession, path)
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def write_runs(df: DataFrame, path: str, run: str = "run_name", mode: str = "error") -> None:
