@@ -1,6 +1,6 @@
 """Named queries of the core."""
 
-from . import analysis, candidates, evaluation, packed, sampling
+from . import analysis, candidates, evaluation, files, packed, sampling
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analysis", "candidates", "evaluation", "packed", "sampling"]
+__all__ = ["QUERIES", "SQL", "analysis", "candidates", "evaluation", "files", "packed", "sampling"]

@@ -51,8 +51,8 @@ def present(v: str, name: str) -> Column:
 
 
 def text_of(v: str, name: str) -> Column:
-    got = F.try_variant_get(v, f"$['{name}']", "string")
-    return F.coalesce(got, F.when(present(v, name) & ~F.is_variant_null(F.try_variant_get(v, f"$['{name}']", "variant")), F.to_json(F.try_variant_get(v, f"$['{name}']", "variant"))))
+    """Text of a key's value; objects and arrays as JSON, null and absent ones null."""
+    return F.coalesce(F.try_variant_get(v, f"$['{name}']", "string"), F.nullif(F.to_json(F.try_variant_get(v, f"$['{name}']", "variant")), F.lit("null")))
 
 
 def first_present(v: str, names: Sequence[str]) -> Column:
@@ -78,19 +78,32 @@ def first_filled(v: str, names: Sequence[str]) -> Column:
 def to_examples(records: DataFrame, default_instruction: str = "", require_label: bool = True) -> DataFrame:
     """Canonical examples of VARIANT records; rows without query, doc or (if required) label are left out."""
     v = "record"
-    num = lambda n: text_of(v, n)
-    label = coerce_label(num("labels"), num("raw_label"), num("label"), num("score"), present(v, "labels"), present(v, "raw_label"), present(v, "label"))
-    got = records.select(
+    fields = ("labels", "raw_label", "label", "score", "instruction", "doc", "reason", *DOC_FIELDS)
+    # Each value is taken out once, in a projection of its own: what follows names them several times.  The number keeps
+    # the optimiser from moving the filter below it, where it would take them out again.
+    raw = records.select(
         "source_index",
-        F.coalesce(F.nullif(utrim(F.coalesce(text_of(v, "instruction"), F.lit(""))), F.lit("")), F.lit(default_instruction)).alias("instruction"),
-        utrim(F.coalesce(first_present(v, ALIASES["query"]), F.lit(""))).alias("query"),
-        first_present(v, ALIASES["query_id"]).alias("query_id"),
-        first_present(v, ALIASES["doc_id"]).alias("doc_id"),
-        synthesize_doc(text_of(v, "doc"), {k: text_of(v, k) for k in DOC_FIELDS}).alias("doc"),
+        (F.lit(0) if records.isStreaming else F.monotonically_increasing_id()).alias("_no"),  # a stream has no such number
+        *[text_of(v, n).alias(f"_{n}") for n in fields],
+        *[present(v, n).alias(f"_has_{n}") for n in ("labels", "raw_label", "label")],
+        *[first_present(v, ALIASES[n]).alias(n) for n in ("query", "query_id", "doc_id")],
+    )
+    at = {n: F.col(f"_{n}") for n in fields}
+    has = [F.col(f"_has_{n}") for n in ("labels", "raw_label", "label")]
+    raw = raw.withColumn("_value", F.when(has[0], at["labels"]).when(has[1], at["raw_label"]).when(has[2], at["label"]).otherwise(at["score"]).try_cast("double"))
+    label = coerce_label(*[F.col("_value")] * 4, *has)
+    got = raw.select(
+        "source_index",
+        "_no",
+        F.coalesce(F.nullif(utrim(F.coalesce(at["instruction"], F.lit(""))), F.lit("")), F.lit(default_instruction)).alias("instruction"),
+        utrim(F.coalesce("query", F.lit(""))).alias("query"),
+        "query_id",
+        "doc_id",
+        synthesize_doc(at["doc"], {k: at[k] for k in DOC_FIELDS}).alias("doc"),
         label.alias("_l"),
-        text_of(v, "reason").alias("reason"),
+        at["reason"].alias("reason"),
     )
-    got = got.where((F.col("query") != "") & (F.col("doc") != ""))
+    got = got.where((F.col("query") != "") & (F.col("doc") != "") & (F.col("_no") >= 0))
     if require_label:
         got = got.where(F.col("_l").isNotNull())
     return got.select(

@@ -100,8 +100,9 @@ def read_recall(spark: SparkSession, path: str, id_key: str = "doc_id") -> DataF
     flat = rows.where(docs.isNull()).select("i", q.alias("query"), F.lit(0).alias("rank"), "record")
     every = a.unionByName(nested).unionByName(flat).where("query is not null")
     ids = tuple(dict.fromkeys((id_key, *ALIASES["recall_doc_id"])))
-    body = synthesize_doc(text_of("record", "doc"), {k: text_of("record", k) for k in DOC_FIELDS})
-    got = every.select("query", "i", "rank", first_filled("record", ids).alias("doc_id"), body.alias("doc")).where("doc_id is not null and doc != ''")
+    every = every.select("query", "i", "rank", first_filled("record", ids).alias("doc_id"), *[text_of("record", k).alias(f"_{k}") for k in ("doc", *DOC_FIELDS)])
+    body = synthesize_doc(F.col("_doc"), {k: F.col(f"_{k}") for k in DOC_FIELDS})
+    got = every.select("query", "i", "rank", "doc_id", body.alias("doc")).where("doc_id is not null and doc != ''")
     w = Window.partitionBy("query").orderBy("i", "rank")
     return got.select("query", F.row_number().over(w).alias("source_rank"), "doc_id", "doc")
 
