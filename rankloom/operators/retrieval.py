@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dot, l2_normalize
+from ..functions.scalar import l2_normalize
 from ..functions.text import bm25_tokens
-from ..storage import small_or_shuffled
+from ..storage import materialize, small_or_shuffled
 
 #: The usual parameters of BM25.
 K1, B = 1.2, 0.75
@@ -39,21 +41,25 @@ def bm25(
 ) -> DataFrame:
     """(*part, qid, doc_id, bm25, rank): the k best documents of each query; documents without a common term never come.
 
-    The corpus is tokenised for its mean length, which takes no shuffle of rows, and for the postings, which carry the
-    length of their document; only postings with a term of a query go on, as the semi-join with the queries' terms comes
-    before the counts of a term within a document.  Scores are rounded to six
+    The corpus is tokenised once.  Only postings with a term of a query go on, as the semi-join with the queries' terms
+    comes before the counts of a term within a document; they carry the length of their document and are written once,
+    for the frequencies and for the scores.  Scores are rounded to six
     places before they are ranked, ties go by doc_id.
     """
     wanted = queries.select(*part, qid, F.explode(bm25_tokens(F.col(query))).alias("term"))
-    wanted = wanted.groupBy(*part, qid, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = materialize(wanted.groupBy(*part, qid, "term").agg(F.count(F.lit(1)).alias("qtf")), "query-terms")
     tokens = corpus.select(*part, "doc_id", bm25_tokens(F.col(text)).alias("_tokens"))
-    words = tokens.select(*part, "doc_id", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
-    terms = wanted.select(*part, "term").distinct()
+    # the empty term stands for the document itself, so that one pass gives the statistics of the corpus as well
+    every = F.concat(F.array(F.lit("")), F.col("_tokens"))
+    words = tokens.select(*part, "doc_id", F.size("_tokens").alias("dl"), F.explode(every).alias("term"))
+    parts = queries.select(*part).distinct().withColumn("term", F.lit("")) if part else queries.sparkSession.createDataFrame([("",)], "term string")
+    terms = wanted.select(*part, "term").distinct().unionByName(parts)
     found = words.join(small_or_shuffled(terms), [*part, "term"], "left_semi")
-    found = found.groupBy(*part, "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    size = tokens.groupBy(*part).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_tokens")).alias("avgdl"))
+    found = materialize(found.groupBy(*part, "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    size = found.where("term = ''").groupBy(*part).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    found = found.where("term <> ''")
     df = found.groupBy(*part, "term").agg(F.count(F.lit(1)).alias("df"))
-    df = df.join(size, list(part)) if part else df.crossJoin(F.broadcast(size))
+    df = df.join(size, list(part)) if part else df.crossJoin(F.broadcast(size))  # size is one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = df.select(*part, "term", "avgdl", idf.alias("idf")).join(small_or_shuffled(wanted), [*part, "term"])
     hits = found.join(df, [*part, "term"])
@@ -69,16 +75,64 @@ def top_k(scored: DataFrame, keys: Sequence[str], score: str, tie: str, k: int)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Queries and documents of one tile of a dense search.
+QUERY_BLOCK, DOC_BLOCK = 2_000, 20_000
+
+
 def dense(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", normalize: bool = True) -> DataFrame:
     """(qid, doc_id, dense, rank): the k nearest vectors of each query by inner product, the query's own id left out.
 
-    queries is a stated set, compared with all rows; it is broadcast only if it is small by count.
+    queries is a stated set, compared with all rows: both are cut into blocks, each block of the one meets each of the
+    other in a tile, and a tile gives the k best of each of its queries by one matrix product.  Null vectors take no
+    part.
     """
     unit = (lambda c: l2_normalize(c)) if normalize else (lambda c: c.cast("array<double>"))
-    q = queries.select("qid", unit(F.col(vector)).alias("_q"))
-    d = corpus.select("doc_id", unit(F.col(vector)).alias("_d"))
-    pairs = d.join(small_or_shuffled(q, 20_000), F.col("qid") != F.col("doc_id"))
-    return top_k(pairs.select("qid", "doc_id", F.round(dot(F.col("_q"), F.col("_d")), 6).alias("dense")), ["qid"], "dense", "doc_id", k)
+    sides, counts = [], []
+    for rows, name, block in ((queries, "qid", QUERY_BLOCK), (corpus, "doc_id", DOC_BLOCK)):
+        rows = rows.where(F.col(vector).isNotNull()).select(F.col(name).alias("id"), unit(F.col(vector)).alias("v"))
+        counts.append(max(1, -(-rows.count() // block)))
+        sides.append(rows)
+    (q, d), (n_q, n_d) = sides, counts
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select(F.lit(0).alias("side"), own(n_q).alias("i"), every(n_d).alias("j"), "id", "v")
+    d = d.select(F.lit(1).alias("side"), own(n_d).alias("j"), every(n_q).alias("i"), "id", "v")
+    tiles = q.unionByName(d).repartition("i", "j").sortWithinPartitions("i", "j", "side", "id")
+    kind = tiles.schema["id"].dataType.simpleString()
+    best = tiles.mapInPandas(_nearest(k), f"qid {kind}, doc_id {kind}, dense double")
+    return top_k(best, ["qid"], "dense", "doc_id", k)
+
+
+def _nearest(k: int):
+    def answer(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        is_doc = b["side"].to_numpy() == 1
+        qids, dids = b["id"].to_numpy()[~is_doc], b["id"].to_numpy()[is_doc]
+        if not len(qids) or not len(dids):
+            return
+        q, d = (np.stack(b["v"].to_numpy()[m]) for m in (~is_doc, is_doc))
+        for i in range(0, len(qids), 256):
+            scores = np.round(q[i : i + 256] @ d.T, 6) + 0.0
+            scores[qids[i : i + 256, None] == dids[None, :]] = -np.inf
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # documents come by id, so ties do too
+            got = np.take_along_axis(scores, order, 1)
+            row, col = np.nonzero(got > -np.inf)
+            yield pd.DataFrame({"qid": qids[i + row], "doc_id": dids[order[row, col]], "dense": got[row, col]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            key = b["i"].to_numpy().astype(np.int64) * (1 << 32) + b["j"].to_numpy()
+            for part in np.split(np.arange(len(b)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+                if not len(part):
+                    continue
+                if held and (held[-1]["i"].iloc[-1], held[-1]["j"].iloc[-1]) != (b["i"].iloc[part[0]], b["j"].iloc[part[0]]):
+                    yield from answer(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(b.iloc[part])
+        if held:
+            yield from answer(pd.concat(held, ignore_index=True))
+
+    return run
 
 
 def labelled(candidates: DataFrame, positives: DataFrame, score: str, backend: str, ensure: bool = False) -> DataFrame:

@@ -80,3 +80,24 @@ def test_subset_and_candidates(spark):
     qrels = spark.createDataFrame([("a", "1", 1.0), ("a", "2", 1.0), ("b", "9", 1.0)], "qid string, doc_id string, score double")
     c = pipelines.build_candidates(corpus, queries, qrels, ensure=True).collect()
     assert sorted((r["qid"], r["doc_id"], r["labels"]) for r in c) == [("a", "1", 10.0), ("a", "2", 10.0)]
+
+
+def test_dense_by_tiles(spark, monkeypatch):
+    import random
+
+    from rankloom.operators import retrieval
+
+    rnd = random.Random(3)
+    rows = [(i, [float(rnd.choice([-1, 0, 1])) for _ in range(4)]) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    q = df.where("doc_id % 4 = 3").withColumnRenamed("doc_id", "qid")
+    whole = sorted(map(tuple, retrieval.dense(df, q, 5, normalize=False).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(retrieval, "DOC_BLOCK", 7)
+    tiles = retrieval.dense(df, q, 5, normalize=False)
+    assert sorted(map(tuple, tiles.collect())) == whole and "Cartesian" not in tiles._jdf.queryExecution().executedPlan().toString()
+    vectors = dict(rows[:-1])
+    for i in [i for i in vectors if i % 4 == 3]:
+        want = sorted((-sum(a * b for a, b in zip(vectors[i], v)), j) for j, v in vectors.items() if j != i)[:5]
+        assert [(-r[2], r[1]) for r in sorted(whole, key=lambda r: r[3]) if r[0] == i] == want
+    assert retrieval.dense(df.limit(0), q, 5).count() == 0 and retrieval.dense(df, q.limit(0), 5).count() == 0
