@@ -145,6 +145,7 @@ def suggestions() -> Column:
     rules = [
         F.when(F.col("candidate_recall") < 0.5, "candidate recall is low"),
         F.when(F.col("groups_without_positive") > 0, "some groups have no positive candidate"),
+        F.when(F.col("label_max") <= 0.1, "raw labels look normalised already"),
         F.when(F.col("inverted_ndcg_10") > F.col("model_ndcg_10"), "inverted scores rank better"),
         F.when(F.col("score_gap") < 0, "positives have lower scores than negatives"),
     ]

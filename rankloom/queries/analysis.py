@@ -102,24 +102,32 @@ def prediction_diagnostics(spark, sf_dir):
     return A.prediction_diagnostics(p, KEYS, ["run_name"])
 
 
-@query()
+@query(f"""WITH {_DIAG}, p0 AS (SELECT run_name, gk, sum(CASE WHEN g >= 0.7 THEN 1 ELSE 0 END) AS c, max(true_relevant_count) AS t, max(g) AS hi FROM pr GROUP BY run_name, gk),
+           cd AS (SELECT run_name, round(coalesce(sum(c) / nullif(sum(CASE WHEN coalesce(t, 0) > 0 THEN t ELSE c END), 0), 0.0), 6) AS recall, count(*) FILTER (c = 0) AS without, max(hi) AS hi FROM p0 GROUP BY run_name)
+           SELECT run_name, concat_ws('; ', CASE WHEN recall < 0.5 THEN 'candidate recall is low' END, CASE WHEN without > 0 THEN 'some groups have no positive candidate' END,
+             CASE WHEN hi <= 0.1 THEN 'raw labels look normalised already' END, CASE WHEN inverted_ndcg_10 > model_ndcg_10 THEN 'inverted scores rank better' END,
+             CASE WHEN score_gap < 0 THEN 'positives have lower scores than negatives' END) AS suggestions FROM cd JOIN di USING (run_name)""")
 def diagnosis_suggestions(spark, sf_dir):
-    """Hints from both diagnostics, one row a run (text rules, tested on fixtures)."""
+    """Hints from both diagnostics, one row a run."""
     p = predictions(spark, sf_dir)
     both = A.candidate_diagnostics(p, KEYS, ["run_name"]).join(A.prediction_diagnostics(p, KEYS, ["run_name"]), "run_name")
     return both.select("run_name", A.suggestions().alias("suggestions"))
 
 
-def _two_runs(spark, sf_dir):
-    """Base and adapted runs of all datasets, compared by dataset and group."""
+#: The models that the comparisons take as the better and the worse one.
+BETTER, WORSE = "lora_a", "base"
+
+
+def _two_runs(spark, sf_dir, better: str = BETTER, worse: str = WORSE):
+    """Runs of two models of all datasets, compared by dataset and group; rows without a group have none to meet."""
     s = _summary(spark, sf_dir).drop("top_docs").where("gk is not null")
     dataset, model = A.run_parts(F.col("run_name"))
     s = s.withColumn("key", F.concat(dataset, F.lit("|"), F.col("gk"))).withColumn("model", model)
-    return s.where("model = 'lora_a'"), s.where("model = 'base'")
+    return s.where(F.col("model") == better), s.where(F.col("model") == worse)
 
 
 _CMP = f"""{_summary_sql()}, rn AS (SELECT *, split_part(run_name, '__', 1) || '|' || gk AS key, split_part(run_name, '__', 2) AS model FROM qs WHERE gk IS NOT NULL),
-    a AS (SELECT * FROM rn WHERE model = 'lora_a'), b AS (SELECT * FROM rn WHERE model = 'base'),
+    a AS (SELECT * FROM rn WHERE model = '{BETTER}'), b AS (SELECT * FROM rn WHERE model = '{WORSE}'),
     cp AS (SELECT key, a.ndcg_10 AS better_ndcg_10, a.mrr AS better_mrr, a.ap AS better_ap, a.best_positive_rank AS better_best_positive_rank,
       b.ndcg_10 AS worse_ndcg_10, b.mrr AS worse_mrr, b.ap AS worse_ap, b.best_positive_rank AS worse_best_positive_rank, round(a.ndcg_10 - b.ndcg_10, 6) AS delta_ndcg,
       round(a.mrr - b.mrr, 6) AS delta_mrr, round(a.ap - b.ap, 6) AS delta_ap,
