@@ -63,7 +63,7 @@ def _quoted(cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
         s0, s1 = _runs(cp == _BACKSLASH, begin)
         i = np.searchsorted(s1, special)
         i = np.minimum(i, len(s1) - 1)
-        escaped = (s1[i] == special) & ((s1[i] - s0[i]) % 2 == 1)
+        escaped = (s1[i] == special) & ((s1[i] - s0[i]) % 2 == 1) & ~np.isin(special, begin)  # not by the row before
         special = special[~escaped]
     kinds = cp[special]
     opens, closers = {}, {}

@@ -73,6 +73,10 @@ def test_any_text_and_rows_by_themselves(texts):
     assert all(v for row in whole for v in row)
 
 
+def test_a_backslash_ends_with_its_row():
+    assert parse_packed(pa.array(["a\\", "'x;y' z", "\\", "';'"])).to_pylist() == [["a"], ["x;y", "z"], [], [";"]]
+
+
 def test_unpack(spark):
     df = spark.createDataFrame([(1, "a,b", 9, "z"), (None, "c", 8, None), (1, "a,b", 9, "z"), (2, None, 7, "y"), (3, "  ", 7, "y")], "id long, value string, pos int, item string")
     got = sorted(map(tuple, unpack(df, ["id"], "value").collect()), key=str)
