@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import id_scores, join_ids
 from ..functions.scalar import clip, f1, logit, ratio
+from ..storage import materialize
 from .rank import _null_safe, average_rank, ranked
 
 #: Defaults of the metrics: normalised threshold, cutoffs, betas.
@@ -114,12 +115,14 @@ def inverted(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame
 
 
 def with_cutoffs(df: DataFrame, keys: Sequence[str], betas: Sequence[float] = BETAS, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts): rows in rank order with their running sums, and for each group and beta best_k and its value.
+    """(rows, cuts): rows with their rank, running sums and the columns to carry, and for each group and beta best_k and
+    its value.  The rows are written once, as what follows reads them several times.
 
     The running sums are made once; the betas multiply the candidates of the argmax only in the aggregation.  The
     expected value is rounded to nine places, and its first maximum decides.
     """
     rows = ranked(df, keys, "s", "sidx", norm=True)
+    rows = materialize(rows.select(*keys, *carry, "rk", "cum_norm", "tot_norm"), "ranked")
     return rows, _cuts(rows, keys, betas)
 
 
@@ -141,9 +144,9 @@ def dynamic_beta(df: DataFrame, keys: Sequence[str], threshold: float = THRESHOL
     is missing or 0 the relevant ids in the list count.
     """
     r6 = _shown(exact)
-    rows, cuts = with_cutoffs(df, keys, betas)
-    ids = rows.groupBy(*keys, "doc_id").agg(F.min("rk").alias("first"), F.max((F.col("g") >= threshold).cast("int")).alias("rel"))
-    first = ids.where("rel = 1").drop("rel")  # where each relevant id stands first, as whichever row
+    rows, cuts = with_cutoffs(df.withColumn("_rel", (F.col("g") >= threshold).cast("int")), keys, betas, ["doc_id", "_rel", "true_relevant_count"])
+    ids = rows.groupBy(*keys, "doc_id").agg(F.min("rk").alias("first"), F.max("_rel").alias("rel"))
+    first = materialize(ids.where("rel = 1").drop("rel"), "first-ranks")  # where each relevant id stands first, as whichever row
     group = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_candidates"), F.max("true_relevant_count").alias("_t"))
     ids = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r"))
     group = _left(group, ids, keys).withColumn("candidate_relevant_count", F.coalesce("_r", F.lit(0).cast("long")))
@@ -245,6 +248,7 @@ def stored_order_beta(
         {"_norm": norm, "_order": -F.coalesce(F.col("rank").cast("long"), far).cast("double"), "_tie": F.struct(-F.col("s"), F.coalesce(F.col("source_rank").cast("long"), far))}
     )
     rows = ranked(rows.drop("_lo", "_hi"), keys, "_order", "_tie", {"norm": F.col("_norm")})
+    rows = materialize(rows.select(*keys, "doc_id", "s", "is_relevant", "rk", "cum_norm", "tot_norm"), "ranked")
     cuts = _cuts(rows, keys, betas)
     first = rows.where("is_relevant").groupBy(*keys, "doc_id").agg(F.min("rk").alias("first"))
     group = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidate_count"))
@@ -295,7 +299,7 @@ def business(gt: DataFrame, preds: DataFrame, ks: Sequence[int] = (1, 3, 5, 10),
     r6 = _shown(exact)
     keys = ["query"]
     scored = preds.join(gt.select("query"), "query", "left_semi")
-    rows, cuts = with_cutoffs(scored, keys, [beta])
+    rows, cuts = with_cutoffs(scored, keys, [beta], ["doc_id"])
     truth = gt.select("query", F.explode("doc_ids").alias("doc_id")).distinct()
     first = rows.groupBy("query", "doc_id").agg(F.min("rk").alias("first")).join(truth, ["query", "doc_id"], "left_semi")
     base = gt.select("query", F.size("doc_ids").alias("label_count"))
