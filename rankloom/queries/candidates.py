@@ -65,15 +65,24 @@ def doc_synthesis(spark, sf_dir):
            SELECT example_id, pair_chars, md5('<Instruct>: ' || p[1] || chr(10) || '<Query>: ' || p[2] || chr(10) || '<Document>: ' || p[3]) AS pointwise,
              md5(CASE WHEN p[1] = '' THEN p[2] ELSE p[1] || chr(10) || chr(10) || p[2] END) AS plain,
              md5(CASE WHEN p[1] = '' THEN 'Query: ' || p[2] ELSE p[1] || chr(10) || chr(10) || 'Query: ' || p[2] END) AS named
-           FROM t WHERE pair_chars <= 2048""")
+           FROM t""")
 def prompt_text(spark, sf_dir):
-    """Prompts of the scorers for pairs within the length limit."""
+    """Prompts of the scorers, of every length."""
     e = rows_of(spark, sf_dir, "examples")
     i, q, d = F.col("instruction"), F.col("query"), F.col("doc")
-    got = e.withColumn("pair_chars", X.pair_length(i, q, d).cast("long")).where("pair_chars <= 2048")
-    return got.select(
-        "example_id", "pair_chars", F.md5(X.prompt(i, q, d)).alias("pointwise"), F.md5(X.instruction_query(i, q)).alias("plain"), F.md5(X.instruction_query(i, q, "Query: ")).alias("named")
-    )
+    return e.select(
+        "example_id", X.pair_length(i, q, d).cast("long").alias("pair_chars"), F.md5(X.prompt(i, q, d)).alias("pointwise"), F.md5(X.instruction_query(i, q)).alias("plain"),
+        F.md5(X.instruction_query(i, q, "Query: ")).alias("named"),
+    )
+
+
+@query("""SELECT example_id, length(doc) AS doc_chars FROM examples
+          WHERE 35 + length(coalesce(instruction, '')) + length(coalesce(query, '')) + length(coalesce(doc, '')) <= 2048""")
+def pair_length_filter(spark, sf_dir):
+    """Pairs within the length limit of the subset command."""
+    e = rows_of(spark, sf_dir, "examples")
+    kept = e.where(X.pair_length(F.col("instruction"), F.col("query"), F.col("doc")) <= 2048)
+    return kept.select("example_id", F.length("doc").cast("long").alias("doc_chars"))
 
 
 @query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{_WS}+', ' ', 'g'), ' ') AS c, text FROM documents)
