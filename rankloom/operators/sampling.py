@@ -155,7 +155,7 @@ def _listwise_rows(df: DataFrame, key: str, threshold: float, strategy: str, neg
     """df with side, null for rows that are neither, and of its group _n rows, _p positive."""
     t, low = F.lit(threshold), F.lit(threshold if negative_threshold is None else negative_threshold)
     over = F.col("g") >= t
-    best = F.min(F.struct((-F.col("g")).alias("a"), F.col("sidx").alias("b"), (over & (F.col("g") >= low)).alias("c"), over.alias("d"), (F.col("g") < low).alias("e")))
+    best = F.min(F.struct((-F.col("g")).alias("rank"), F.col("sidx").alias("at"), (F.col("g") < low).alias("low")))
     stats = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(over.cast("long")).alias("_over"), F.sum((F.col("g") < low).cast("long")).alias("_low"),
         F.sum((over & (F.col("g") < low)).cast("long")).alias("_both"), best.alias("_best"),
@@ -163,8 +163,8 @@ def _listwise_rows(df: DataFrame, key: str, threshold: float, strategy: str, neg
     only_top = F.lit(strategy == "top1") | (F.lit(strategy == "threshold_or_top1") & (F.col("_over") == 0))
     # positives, and rows under the negative threshold that aren't positive
     stats = stats.withColumn("_p", F.when(only_top, 1).otherwise(F.col("_over")).cast("long"))
-    stats = stats.withColumn("_under", F.when(only_top, F.col("_low") - F.col("_best.e").cast("long")).otherwise(F.col("_low") - F.col("_both")))
-    rows = _null_safe(df, stats.withColumn("_top", F.when(only_top, F.col("_best.b"))), [key])
+    stats = stats.withColumn("_under", F.when(only_top, F.col("_low") - F.col("_best.low").cast("long")).otherwise(F.col("_low") - F.col("_both")))
+    rows = _null_safe(df, stats.withColumn("_top", F.when(only_top, F.col("_best.at"))), [key])
     positive = F.when(F.col("_top").isNotNull(), F.col("sidx") == F.col("_top")).when(F.col("_p") == 0, F.lit(False)).otherwise(over)
     side = F.when(positive, "positive").when((F.col("_under") == 0) | (F.col("g") < low), "negative")
     return rows.withColumn("side", side)
