@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql import types as T
 
 from ..skew import key128
 from ..storage import materialize, small_or_shuffled
-from .minhash import CHUNK, code_points, mix
+from .minhash import CHUNK, code_points, edit_distance, mix
+from .overlap import _whole_tiles as whole_tiles
 
 LEAST, K = 100, 40
 #: Distinct surroundings of one seed that are compared with each other; where there are more, their windows are hashed.
@@ -228,12 +230,13 @@ def text_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, classes
 
 
-def seeds(df: DataFrame, classes: DataFrame, k: int = K, least: int = LEAST) -> DataFrame:
-    """Selected seeds (h, around, doc_id, pos) of one document of each class of equal texts."""
+def seeds(df: DataFrame, classes: DataFrame, k: int = K, least: int = LEAST, around: bool = True) -> DataFrame:
+    """Selected seeds (h, doc_id, pos, and around if wanted) of one document of each class of equal texts."""
     reps = classes.select(F.col("rep").alias("doc_id"))
     docs = df.where(F.length("text") >= least).select("doc_id", "text")
     docs = docs.join(small_or_shuffled(reps), "doc_id", "left_semi")
-    return materialize(docs.mapInPandas(_seed_batches(k, least), _SEED), "seeds")
+    found = docs.mapInPandas(_seed_batches(k, least), _SEED)
+    return materialize(found if around else found.drop("around"), "seeds")
 
 
 def shared_seeds(all_seeds: DataFrame) -> DataFrame:
@@ -348,137 +351,366 @@ class Fenwick:
         return got
 
 
-def chain(matches: list[tuple[int, int]], k: int = K, gap: float = 0.1, least: float = LEAST) -> list[tuple[int, int, int, int, float]]:
-    """Collinear chains (start_a, end_a, start_b, end_b, score) of matches (position in a, position in b).
+def _overlapping(ends: list[tuple[int, int, int, int]], score: list[float], a: int, b: int, n: int, gap: float) -> tuple[float, int]:
+    """Best (score, number) of a stretch (a, b, n) behind one of those that overlap it and begin before it on both sides."""
+    best = (float("-inf"), -1)
+    if len(ends) > 64:  # many repetitions in both texts
+        x = np.array(ends, dtype=np.int64)
+        cut = np.maximum(x[:, 2] - a, x[:, 3] - b)
+        at = np.flatnonzero((x[:, 0] < a) & (x[:, 1] < b) & (cut > 0) & (cut < n))
+        if len(at):
+            x, cut = x[at], cut[at]
+            got = np.array([score[j] for j in at]) + n - cut - gap * (a + b + 2 * cut - x[:, 2] - x[:, 3])
+            best = (float(got.max()), int(at[got.argmax()]))
+        return best
+    for j, (a0, b0, a1, b1) in enumerate(ends):
+        cut = max(a1 - a, b1 - b)
+        if a0 < a and b0 < b and 0 < cut < n:
+            best = max(best, (score[j] + n - cut - gap * (a + b + 2 * cut - a1 - b1), j))
+    return best
+
+
+def chain(matches: list[tuple[int, ...]], k: int = K, gap: float = 0.1, least: float = LEAST) -> list[tuple[int, int, int, int, float]]:
+    """Collinear chains (start_a, end_a, start_b, end_b, score) of matches (position in a, position in b, length or else k).
 
     A chain's score is the characters its matches cover in a, less ``gap`` for each character of a and b between them.
-    Matches are taken by their place in a; the best predecessor is the prefix maximum, over the places in b, of score
-    plus gap times (end in a + end in b).  An overlapping predecessor counts its new characters only where both sides
-    advance alike.  Chains are taken by score, each match in one chain at most, those under ``least`` left out.
+    Matches are taken by their place in a; the best predecessor is the prefix maximum, over the ends in b, of score
+    plus gap times (end in a + end in b).  An overlapping predecessor of a match of k characters counts its new
+    characters only where both sides advance alike; matches with a length are cut to what lies behind it on both sides.
+    Chains are taken by score, each match in one chain at most, those under ``least`` left out.
     """
-    matches = sorted(set(matches))
-    places = sorted({b for _, b in matches})
+    matches = sorted({(*m, k)[:3] if len(m) == 2 else m for m in matches})
+    fixed = all(n == k for _, _, n in matches)
+    places = sorted({b + n for _, b, n in matches})
     tree, score, before = Fenwick(len(places)), [], []
     last_on: dict[int, int] = {}
+    ends: list[tuple[int, int, int, int]] = []
     waiting: list[tuple[int, int]] = []  # (end in a, match) that can't be a predecessor yet
-    done = 0
-    for i, (a, b) in enumerate(matches):
-        while done < len(waiting) and waiting[done][0] <= a:
-            j = waiting[done][1]
-            tree.update(bisect_left(places, matches[j][1]), (score[j] + gap * (matches[j][0] + matches[j][1] + 2 * k), j))
-            done += 1
-        s, p = float(k), -1
-        got, j = tree.prefix(bisect_left(places, b - k + 1))
-        if j >= 0 and got - gap * (a + b) + k > s:
-            s, p = got - gap * (a + b) + k, j
+    for i, (a, b, n) in enumerate(matches):
+        while waiting and waiting[0][0] <= a:
+            j = heappop(waiting)[1]
+            end_b = matches[j][1] + matches[j][2]
+            tree.update(bisect_left(places, end_b), (score[j] + gap * (ends[j][2] + end_b), j))
+        s, p = float(n), -1
+        got, j = tree.prefix(bisect_right(places, b))
+        if j >= 0 and got - gap * (a + b) + n > s:
+            s, p = got - gap * (a + b) + n, j
         j = last_on.get(a - b, -1)
-        if j >= 0 and a - matches[j][0] < k and score[j] + (a - matches[j][0]) > s:
-            s, p = score[j] + (a - matches[j][0]), j
+        if j >= 0 and a < ends[j][2] < a + n and score[j] + (a + n - ends[j][2]) > s:
+            s, p = score[j] + (a + n - ends[j][2]), j
         last_on[a - b] = i
+        if not fixed:
+            got, j = _overlapping(ends, score, a, b, n, gap)
+            if got > s:
+                s, p = got, j
         score.append(s)
         before.append(p)
-        waiting.append((a + k, i))
+        ends.append((a, b, a + n, b + n))
+        heappush(waiting, (a + n, i))
     out, used = [], [False] * len(matches)
     for i in sorted(range(len(matches)), key=lambda x: (-score[x], x)):
         if used[i] or score[i] < least:
             continue
-        j, first = i, i
+        j, path = i, []
         while j >= 0 and not used[j]:
-            used[j], first = True, j
+            path.append(j)
             j = before[j]
-        got = score[i] - (score[j] if j >= 0 else 0.0)
+        # without what another chain has taken, the best beginning may be a later one; what is before it stays free
+        path.reverse()
+        first, got = 0, float(matches[path[0]][2])
+        for q in range(1, len(path)):
+            got += score[path[q]] - score[path[q - 1]]
+            if matches[path[q]][2] > got:
+                first, got = q, float(matches[path[q]][2])
+        for j in path[first:]:
+            used[j] = True
         if got >= least:
-            out.append((matches[first][0], matches[i][0] + k, matches[first][1], matches[i][1] + k, round(got, 3)))
+            j = path[first]
+            out.append((matches[j][0], ends[i][2], matches[j][1], ends[i][3], round(got, 3)))
     return out
 
 
-def _chain_batches(k: int, gap: float, least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def answer(b: pd.DataFrame) -> pd.DataFrame:
-            rows, a, d = [], b["doc_a"].to_numpy(), b["doc_b"].to_numpy()
-            pa, pb = b["pos_a"].tolist(), b["pos_b"].tolist()
-            edges = np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (d[1:] != d[:-1])) + 1, [len(a)]))
-            for i, j in zip(edges[:-1], edges[1:]):
-                rows += [(a[i], d[i], *c) for c in chain(list(zip(pa[i:j], pb[i:j])), k, gap, least)]
-            return pd.DataFrame(rows, columns=["doc_a", "doc_b", "start_a", "end_a", "start_b", "end_b", "score"])
+PASSAGE_K, PASSAGE_WINDOW = 24, 48
+#: Documents of one side of a tile, characters that are compared at once, and matches.  How, changes no result.
+DOCS_OF_TILE, _CHARS, _MATCHES = 1_500, 1 << 22, 1 << 20
+
+
+class _Texts:
+    """Texts as code points, with what their pairs have in common."""
+
+    def __init__(self, texts: list[str], k: int, window: int) -> None:
+        self.texts, self.k, self.most = texts, k, window - k
+        self.cp, self.offsets = code_points(texts)
+        parts = [(first + d, pos, h) for first, part in _chunks(texts) for d, pos, h, _ in [seeds_of(part, k, window)]]
+        self.row, self.pos, self.h = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+
+    def same(self, at: np.ndarray, u: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the rows ``at`` have one character at place x of text u and at place y of text v."""
+        u, v, x, y = u[at], v[at], x[at], y[at]
+        x, y = x + self.offsets[u], y + self.offsets[v]
+        inside = (x >= self.offsets[u]) & (y >= self.offsets[v]) & (x < self.offsets[u + 1]) & (y < self.offsets[v + 1])
+        at, x, y = at[inside], x[inside], y[inside]
+        return at[self.cp[x] == self.cp[y]]
+
+    def stretches(self, u: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(u, v, start in u, start in v, length) of the maximal equal stretches around the matches (x of u, y of v).
+
+        A stretch of a window or more holds matches that begin at most window - k + 1 apart, the first and last of them as
+        near to its ends, so that so many characters are looked at on each side.
+        """
+        order = np.lexsort((x, x - y, v, u))
+        u, v, x, y = u[order], v[order], x[order], y[order]
+        n = np.full(len(u), self.k, np.int64)
+        for widen in (False, True):
+            if widen:
+                at, ends = np.arange(len(u)), (x + n, y + n)
+                for t in range(self.most + 1):
+                    at = self.same(at, u, v, ends[0] + t, ends[1] + t)
+                    n[at] += 1
+                at = np.arange(len(u))
+                x, y = x.copy(), y.copy()
+                for _ in range(self.most + 1):
+                    at = self.same(at, u, v, x - 1, y - 1)
+                    x[at], y[at], n[at] = x[at] - 1, y[at] - 1, n[at] + 1
+            # what touches or overlaps on one diagonal is one stretch
+            line = np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (x[1:] - y[1:] != x[:-1] - y[:-1])))[: len(u)]
+            number = np.cumsum(line)
+            wide = int((x + n).max(initial=0)) + 1
+            reach = np.maximum.accumulate(x + n + number * wide) - number * wide
+            new = line.copy()
+            new[1:] |= x[1:] > reach[:-1]
+            at = np.flatnonzero(new)
+            if len(at):
+                n = np.append(reach[at[1:] - 1], reach[-1]) - x[at]
+                u, v, x, y = u[at], v[at], x[at], y[at]
+        return u, v, x, y, n
+
+    def chains(self, u: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, gap: float, least: int) -> list[tuple]:
+        """(u, v, start_a, end_a, start_b, end_b, score, identity) of the chains of the matches (x of u, y of v)."""
+        u, v, x, y, n = self.stretches(u, v, x, y)
+        out: list[tuple] = []
+        edges = np.concatenate(([0], np.flatnonzero((u[1:] != u[:-1]) | (v[1:] != v[:-1])) + 1, [len(u)])) if len(u) else np.zeros(1, np.int64)
+        first, many = edges[:-1], np.diff(edges)
+        total = np.add.reduceat(n, first) if len(first) else first
+        one = first[(many == 1) & (total >= least)]
+        out += zip(u[one], v[one], x[one], x[one] + n[one], y[one], y[one] + n[one], n[one].astype(float), np.ones(len(one)))
+        several = np.flatnonzero((many > 1) & (total >= least))
+        for i, j in zip(first[several], edges[1:][several]):
+            a, b = self.texts[u[i]], self.texts[v[i]]
+            for c in chain(list(zip(x[i:j].tolist(), y[i:j].tolist(), n[i:j].tolist())), self.k, gap, least):
+                s, t = a[c[0] : c[1]], b[c[2] : c[3]]
+                longer = max(len(s), len(t))
+                out.append((u[i], v[i], *c, round(1 - edit_distance(s, t, longer) / longer, 4)))
+        return out
+
+
+_CHAIN = "start_a int, end_a int, start_b int, end_b int, score double, identity double"
+
+
+def _table(rows: list[tuple], ids: np.ndarray) -> pd.DataFrame:
+    b = pd.DataFrame(rows, columns=["doc_a", "doc_b", "start_a", "end_a", "start_b", "end_b", "score", "identity"])
+    return b.assign(doc_a=ids[b["doc_a"].to_numpy(np.int64)], doc_b=ids[b["doc_b"].to_numpy(np.int64)])
+
+
+def _tile_batches(k: int, window: int, gap: float, least: int):
+    """Chains of the pairs of documents of each tile that don't meet in a tile of a smaller number."""
+
+    def some(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        b = b.sort_values(["tile", "doc_id"], kind="stable").drop_duplicates(["tile", "doc_id"])
+        ids, own, chunk = b["doc_id"].to_numpy(), b["first"].to_numpy(), b["chunk"].to_numpy()
+        _, tile = np.unique(b["tile"].to_numpy(), return_inverse=True)
+        texts = _Texts(b["text"].tolist(), k, window)
+        # all tiles of each document, as sorted numbers row * n + place of the tile among all
+        lists = b["firsts"].tolist()
+        place, many = np.unique(np.concatenate([*lists, own]), return_inverse=True)[1], np.fromiter(map(len, lists), np.int64, len(b))
+        own_place, place = place[len(place) - len(b) :], place[: len(place) - len(b)]
+        begins, wide = np.concatenate(([0], np.cumsum(many))), len(place) + len(b) + 1
+        held = np.sort(np.repeat(np.arange(len(b)), many) * wide + place)
+        order = np.lexsort((texts.pos, texts.row, texts.h, tile[texts.row]))
+        row, pos, h = texts.row[order], texts.pos[order], texts.h[order]
+        if not len(row):
+            return
+        key = np.concatenate(([True], (h[1:] != h[:-1]) | (tile[row[1:]] != tile[row[:-1]])))
+        doc = key | np.concatenate(([True], row[1:] != row[:-1]))
+        ends = [np.append(np.flatnonzero(z)[1:], len(row))[np.cumsum(z) - 1] for z in (doc, key)]
+        # a seed meets those of the documents behind its own
+        n = ends[1] - ends[0]
+        by_row = np.argsort(row, kind="stable")
+        by_row = by_row[n[by_row] > 0]
+        upto = np.concatenate(([0], np.cumsum(n[by_row])))
+        last = np.append(np.flatnonzero(row[by_row][1:] != row[by_row][:-1]) + 1, len(by_row))
+        i = 0
+        while i < len(by_row):
+            j = max(int(last[np.searchsorted(last, i, "right")]), int(last[max(0, np.searchsorted(upto[last], upto[i] + _MATCHES, "right") - 1)]))
+            at = by_row[i:j]
+            m = n[at]
+            left = np.repeat(at, m)
+            right = np.repeat(ends[0][at], m) + np.arange(upto[j] - upto[i]) - np.repeat(upto[i:j] - upto[i], m)
+            i = j
+            pair, which = np.unique(row[left] * np.int64(len(b)) + row[right], return_inverse=True)
+            u, v = pair // len(b), pair % len(b)
+            good = (chunk[u] < 0) | (chunk[u] != chunk[v])
+            other = np.repeat(np.arange(len(pair)), many[u])
+            there = place[np.repeat(begins[u], many[u]) + np.arange(len(other)) - np.repeat(np.cumsum(many[u]) - many[u], many[u])]
+            smaller = there < own_place[u[other]]
+            other, there = other[smaller], there[smaller]
+            wanted = v[other] * wide + there
+            found = held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted
+            good[other[found]] = False
+            good = good[which]
+            left, right = left[good], right[good]
+            yield _table(texts.chains(row[left], row[right], pos[left], pos[right], gap, least), ids)
+
+    def answer(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        tiles, upto = b["tile"].to_numpy(), np.cumsum(b["text"].str.len().to_numpy())
+        edges = np.append(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1, len(b))
+        i = 0
+        for e, after in zip(edges, np.append(edges[1:], 0)):
+            if not after or upto[after - 1] - (upto[i - 1] if i else 0) > _CHARS:
+                yield from some(b.iloc[i:e])
+                i = e
+
+    return whole_tiles(answer)
+
+
+def _own_batches(k: int, window: int, gap: float, least: int):
+    """Chains of texts with themselves, for texts that stand under several ids."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            a, d = b["doc_a"].to_numpy(), b["doc_b"].to_numpy()
-            last = int(np.flatnonzero((a == a[-1]) & (d == d[-1]))[0]) if len(a) else 0
-            held = b.iloc[last:]
-            if last:
-                yield answer(b.iloc[:last])
-        if held is not None and len(held):
-            yield answer(held)
+            ids = b["doc_id"].to_numpy()
+            for r, text in enumerate(b["text"]):
+                texts = _Texts([text], k, window)
+                order = np.argsort(texts.h, kind="stable")
+                h, pos = texts.h[order], texts.pos[order]
+                low, high = (np.searchsorted(h, h, side) for side in ("left", "right"))
+                m = high - low
+                right = np.repeat(low, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                zero = np.zeros(len(right), np.int64)
+                yield _table(texts.chains(zero, zero, np.repeat(pos, m), pos[right], gap, least), ids[r : r + 1])
 
     return run
 
 
-PASSAGE_K, PASSAGE_WINDOW = 24, 48
+def _covers(most: int, k: int, least: int):
+    """For the pairs of documents of each tile what stretches around their shared seeds can hold at most.
 
+    A match lies in an equal stretch that goes on for ``most`` characters on each side up to the next match, if there is
+    one.  Gives (first, a, null, least) for each document of a pair that can reach ``least``, (first, a, b, cover) of the other pairs.
+    """
 
-def _to_first(level: DataFrame) -> DataFrame:
-    """(doc_a, i_a, doc_b, i_b): each occurrence of a key beside its first occurrence, in another document."""
-    first = level.groupBy("key").agg(F.min(F.struct("doc_id", "i")).alias("f")).select("key", F.col("f.doc_id").alias("doc_a"), F.col("f.i").alias("i_a"))
-    return level.join(first, "key").where(F.col("doc_id") != F.col("doc_a")).select("doc_a", "i_a", F.col("doc_id").alias("doc_b"), F.col("i").alias("i_b"))
+    def answer(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        b = b.sort_values(["tile", "h", "doc_id", "pos"], kind="stable").drop_duplicates(["tile", "h", "doc_id", "pos"])
+        first, chunk, doc, pos = (b[c].to_numpy() for c in ("first", "chunk", "doc_id", "pos"))
+        tile, h = b["tile"].to_numpy(), b["h"].to_numpy()
+        key = np.concatenate(([True], (h[1:] != h[:-1]) | (tile[1:] != tile[:-1])))
+        run = np.flatnonzero(key | np.concatenate(([True], doc[1:] != doc[:-1])))
+        # each occurrence meets, once, the documents of its seed behind its own
+        number = np.searchsorted(run, np.arange(len(b)), "right")
+        n = np.searchsorted(run, np.append(np.flatnonzero(key)[1:], len(b))[np.cumsum(key) - 1], "left") - number
+        _, names = np.unique(tile, return_inverse=True)
+        docs, numbers = np.unique(doc, return_inverse=True)
+        order = np.lexsort((pos, numbers, names))
+        order = order[n[order] > 0]
+        row = names[order] * np.int64(len(docs)) + numbers[order]
+        upto = np.concatenate(([0], np.cumsum(n[order])))
+        last = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(order))
+        i = 0
+        while i < len(order):
+            j = max(int(last[np.searchsorted(last, i, "right")]), int(last[max(0, np.searchsorted(upto[last], upto[i] + _MATCHES, "right") - 1)]))
+            at = order[i:j]
+            m = n[at]
+            left = np.repeat(at, m)
+            right = run[np.repeat(number[at], m) + np.arange(upto[j] - upto[i]) - np.repeat(upto[i:j] - upto[i], m)]
+            i = j
+            good = (chunk[left] < 0) | (chunk[left] != chunk[right])
+            left, right = left[good], right[good]
+            if not len(left):
+                continue
+            # rows of one document of one tile come in order of place, so a stable sort by pair keeps that order
+            pair = (names[left] - names[left].min()) * np.int64(len(docs)) ** 2 + numbers[left] * np.int64(len(docs)) + numbers[right]
+            by_pair = np.argsort(pair, kind="stable")
+            left, right, pair = left[by_pair], right[by_pair], pair[by_pair]
+            new = np.concatenate(([True], pair[1:] != pair[:-1]))
+            step = np.append(pos[left][1:] - pos[left][:-1], 0).astype(np.int64)
+            step = np.where(np.append(new[1:], True), k + 2 * most, np.minimum(step, k + 2 * most))
+            start = np.flatnonzero(new)
+            cover = np.add.reduceat(step, start)
+            u, v = left[start], right[start]
+            sure = cover >= least
+            sides = np.concatenate((u[sure], v[sure]))
+            marks = pd.DataFrame({"first": first[sides], "a": doc[sides]}).drop_duplicates().assign(b=None, cover=least)
+            yield marks
+            yield pd.DataFrame({"first": first[u], "a": doc[u], "b": doc[v], "cover": cover})[~sure]
+
+    return whole_tiles(answer)
+
+
+def _in_tiles(rows: DataFrame) -> DataFrame:
+    """The rows (first, doc_id, ...) of documents in tiles named first, with columns tile and chunk.
+
+    A tile of more than DOCS_OF_TILE documents is cut into chunks, of which each meets each; chunk is -1 where all pairs count.
+    """
+    cuts = rows.groupBy("first").agg(F.ceil(F.approx_count_distinct("doc_id") / F.lit(DOCS_OF_TILE)).cast("int").alias("cuts"))
+    cuts = materialize(cuts.where("cuts > 1"), "cut-tiles")
+    at = rows.join(small_or_shuffled(cuts), "first", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    at = at.withColumn("i", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.col("cuts")).cast("int"))
+    at = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    tile = F.xxhash64("first", F.least("i", "j"), F.greatest("i", "j"))
+    chunk = F.when(F.col("i") == F.col("j"), F.lit(-1)).otherwise(F.col("i"))
+    return at.withColumn("tile", tile).withColumn("chunk", chunk).drop("cuts", "i", "j")
 
 
-def seed_links(occ: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, pos_a, pos_b): matches of the shared seeds, without the pairs of all occurrences.
+def tiles_of(occ: DataFrame, k: int, window: int, least: int) -> DataFrame:
+    """(doc_id, firsts, places): the tiles (tile, first, chunk) where the texts meet whose shared seeds may make ``least`` characters.
 
-    Runs of 1, 2, 4, 8, ... consecutive seeds that stand in more than one document are each linked to their first
-    occurrence, as far as such runs go, and the link of a run holds for all seeds in it.  So two documents that have n
-    seeds in a row alike are linked over all of them, or over half of them at least with one and the same document
-    which had them first.
+    A seed's documents meet in the tile of the first of them, by hash; so the seeds of one passage make one tile or few.
+    Documents come without their texts at first, and pairs whose seeds can't cover ``least`` characters are left out.
     """
-    by_place = Window.partitionBy("doc_id").orderBy("pos")
-    at = materialize(occ.select("doc_id", "pos", F.col("h").alias("key"), F.row_number().over(by_place).alias("i")), "seed-order")
-    levels = [at.select("doc_id", "i", "key", "pos")]
-    while True:
-        size, here = 1 << (len(levels) - 1), levels[-1]
-        right = here.select("doc_id", (F.col("i") - size).alias("i"), F.col("key").alias("key2"), F.col("pos").alias("pos2"))
-        runs = here.join(right, ["doc_id", "i"]).select("doc_id", "i", F.xxhash64("key", "key2", F.col("pos2") - F.col("pos")).alias("key"), "pos")
-        runs = materialize(runs, "seed-runs")
-        several = runs.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-        runs = materialize(runs.join(several, "key", "left_semi"), "shared-runs")
-        if runs.isEmpty():
-            break
-        levels.append(runs)
-    links = None
-    for n in range(len(levels) - 1, -1, -1):
-        own = _to_first(levels[n])
-        if links is not None:
-            halves = links.select("doc_a", "i_a", "doc_b", "i_b", F.explode(F.array(F.lit(0), F.lit(1 << n))).alias("x"))
-            own = own.unionByName(halves.select("doc_a", (F.col("i_a") + F.col("x")).alias("i_a"), "doc_b", (F.col("i_b") + F.col("x")).alias("i_b")))
-        links = materialize(own.distinct(), "seed-links")
-    for side in "ab":
-        places = at.select(F.col("doc_id").alias(f"doc_{side}"), F.col("i").alias(f"i_{side}"), F.col("pos").alias(f"pos_{side}"))
-        links = links.join(places, [f"doc_{side}", f"i_{side}"])
-    return links.select("doc_a", "doc_b", "pos_a", "pos_b")
+    first = materialize(occ.groupBy("h").agg(F.min(F.xxhash64(F.lit(5), "doc_id")).alias("first")), "first-documents")
+    at = materialize(occ.select("h", "doc_id", "pos").join(first, "h"), "seeds-of-tiles")
+    at = _in_tiles(at).repartition("tile").sortWithinPartitions("tile")
+    covers = at.mapInPandas(_covers(window - k, k, least), "first long, a long, b long, cover long")
+    covers = materialize(covers, "covers")
+    # pairs that have seeds in several tiles
+    more = covers.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("cover").alias("cover"), F.min("first").alias("first"))
+    more = more.where(F.col("cover") >= least).select("first", F.explode(F.array("a", "b")).alias("doc_id"))
+    docs = covers.where(F.col("b").isNull()).select("first", F.col("a").alias("doc_id")).unionByName(more).distinct()
+    docs = _in_tiles(materialize(docs, "documents-of-tiles"))
+    docs = docs.select("doc_id", F.struct("tile", "first", "chunk").alias("place"))
+    docs = docs.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.sort_array(F.collect_set("place.first")).alias("firsts"))
+    return materialize(docs, "tiles-of-documents")
 
 
 def passages(df: DataFrame, k: int = PASSAGE_K, window: int = PASSAGE_WINDOW, gap: float = 0.1, least: int = LEAST) -> DataFrame:
     """(doc_a, doc_b, start_a, end_a, start_b, end_b, score, identity): fuzzy passages of doc_b that stand in doc_a too.
 
-    One document of each class of equal texts takes part.  The matches are those of ``seed_links``: runs of shared
-    seeds beside their first occurrence.  The matches of two documents are chained in order of place with gap costs,
-    and each chain is aligned: identity is 1 - edit distance / length of the longer passage.
+    All pairs of documents, doc_a < doc_b, those of equal texts included; equal texts are compared once and their chains
+    given to all their ids.  Documents that share a seed meet in a tile with their texts.  The shared seeds of two are
+    extended to the maximal equal stretches, so that every stretch of ``window`` characters counts in full; these are
+    chained in order of place with gap costs, and each chain is aligned: identity is 1 - edit distance / length of the
+    longer passage.
     """
-    _, classes = text_classes(df)
+    members, classes = text_classes(df)
     classes = materialize(classes, "text-classes")
-    links = seed_links(shared_seeds(seeds(df, classes, k, window)))
-    links = links.repartition("doc_b", "doc_a").sortWithinPartitions("doc_a", "doc_b")
-    chains = links.mapInPandas(
-        _chain_batches(k, gap, least), "doc_a long, doc_b long, start_a int, end_a int, start_b int, end_b int, score double"
-    )
-    chains = materialize(chains, "chains")
-    texts = df.select("doc_id", "text")
+    occ = shared_seeds(seeds(df, classes, k, window, False))
+    texts = df.select("doc_id", "text").where(F.length("text") >= least)
+    rows = texts.join(small_or_shuffled(tiles_of(occ, k, window, least), 200_000), "doc_id")
+    rows = rows.withColumn("place", F.explode("places")).select("place.tile", "doc_id", "text", "place.first", "place.chunk", "firsts")
+    rows = rows.repartition("tile").sortWithinPartitions("tile")
+    chains = rows.mapInPandas(_tile_batches(k, window, gap, least), f"doc_a long, doc_b long, {_CHAIN}")
+    several = materialize(classes.where(F.col("several") & (F.col("len") >= least)).select(F.col("rep").alias("doc_id")), "several")
+    own = texts.join(small_or_shuffled(several), "doc_id").dropDuplicates(["doc_id"])
+    own = own.mapInPandas(_own_batches(k, window, gap, least), f"doc_a long, doc_b long, {_CHAIN}")
+    chains = materialize(chains.unionByName(own), "chains")
+    # the ids of equal texts; a class of one id has its own
+    ids = members.select("key", "doc_id").distinct().join(classes.where("several").select("key", "rep"), "key").select("rep", "doc_id")
+    ids = materialize(ids, "ids-of-texts")
     for side in "ab":
-        t = texts.select(F.col("doc_id").alias(f"doc_{side}"), F.col("text"))
-        cut = F.substring("text", F.col(f"start_{side}") + 1, F.col(f"end_{side}") - F.col(f"start_{side}"))
-        chains = t.join(small_or_shuffled(chains, 200_000) if side == "a" else chains, f"doc_{side}").withColumn(f"s_{side}", cut).drop("text")
-    far = F.levenshtein("s_a", "s_b") / F.greatest(F.length("s_a"), F.length("s_b"))
-    return chains.select("doc_a", "doc_b", "start_a", "end_a", "start_b", "end_b", "score", F.round(1 - far, 4).alias("identity"))
+        other = ids.select(F.col("rep").alias(f"doc_{side}"), F.col("doc_id").alias(f"id_{side}"))
+        chains = chains.join(small_or_shuffled(other), f"doc_{side}", "left").withColumn(f"id_{side}", F.coalesce(f"id_{side}", f"doc_{side}"))
+    chains = chains.where((F.col("doc_a") != F.col("doc_b")) | (F.col("id_a") < F.col("id_b")))
+    turned = F.col("id_a") > F.col("id_b")
+    a, b = ([F.col(f"{c}_{x}") for c in ("id", "start", "end")] for x in "ab")
+    swapped = [F.when(turned, y).otherwise(x).alias(f"{n}_{s}") for s, p, q in (("a", a, b), ("b", b, a)) for n, x, y in zip(("doc", "start", "end"), p, q)]
+    return chains.select(*swapped, "score", "identity").select("doc_a", "doc_b", "start_a", "end_a", "start_b", "end_b", "score", "identity")

@@ -142,3 +142,54 @@ def test_recall_of_passages(spark):
     found = {(i, j) for i, j in true if (i, j) in linked or near[i] & near[j]}
     print(len(true), len(true & linked), len(found))
     assert len(true) > 100 and len(found) >= 0.98 * len(true)
+
+
+def test_passages_of_all_pairs(spark, monkeypatch):
+    """Every two ids whose texts share 100 characters have a passage that holds them, also ids of equal texts, however tiles are cut."""
+    rnd = random.Random(12)
+    text = lambda k: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(k))
+    pool = [text(300) for _ in range(5)]
+    rows = []
+    for i in range(40):
+        p, q = rnd.choice(pool), rnd.choice(pool)
+        a, b = rnd.randint(0, 60), rnd.randint(0, 60)
+        rows.append((i * 7 % 41, text(rnd.randint(1, 90)) + p[a : a + rnd.randint(110, 150)] + text(30) + q[b : b + rnd.randint(60, 150)]))
+    rows += [(100, rows[5][1]), (101, rows[5][1]), (101, rows[5][1]), (102, text(200)), (103, text(100)), (104, None)]
+    rows += [(105, rows[-2][1])]
+    texts = {i: t for i, t in rows if t}
+    grams = {i: {t[x : x + 100]: x for x in range(len(t) - 99)} for i, t in texts.items()}
+    true = {(i, j, g) for i in texts for j in texts if i < j for g in grams[i].keys() & grams[j].keys()}
+    pairs = {(i, j) for i, j, _ in true}
+    assert len(pairs) > 150 and {(35, 100), (100, 101), (103, 105)} <= pairs
+    seen = []
+    for docs in (1_500, 3):
+        monkeypatch.setattr(spans, "DOCS_OF_TILE", docs)
+        got = [tuple(r) for r in spans.passages(frame(spark, rows)).collect()]
+        assert len(got) == len(set(got))
+        at = {}
+        for r in got:
+            at.setdefault(r[:2], []).append(r)
+        assert all(r[0] < r[1] and r[6] >= 100 for r in got)
+        lost = [(i, j) for i, j, g in true if not any(s <= grams[i][g] and grams[i][g] + 100 <= e and p <= grams[j][g] and grams[j][g] + 100 <= q for _, _, s, e, p, q, *_ in at.get((i, j), []))]
+        assert not lost
+        seen.append(set(got))
+    assert seen[0] == seen[1]
+
+
+def test_stretches_and_chains_with_lengths():
+    rnd = random.Random(13)
+    s = "".join(rnd.choice("abcdefgh") for _ in range(300))
+    a, b = "x" + s[:120] + s[119:240], "yy" + s[:240]
+    t = spans._Texts([a, b], 24, 48)
+    h = [{int(x): int(p) for r, p, x in zip(t.row, t.pos, t.h) if r == k} for k in (0, 1)]
+    both = sorted(h[0].keys() & h[1].keys())
+    places = [spans.np.array([d[x] for x in both]) for d in h]
+    zero = spans.np.zeros(len(both), int)
+    got = t.chains(zero, zero + 1, *places, 0.1, 100)
+    assert [tuple(map(float, r)) for r in got] == [(0, 1, 1, 242, 2, 242, 240 - 0.1, round(1 - 1 / 241, 4))]
+
+
+def test_chain_keeps_what_another_chain_left():
+    # the second and third stretch both follow the first; the one left over has 110 characters by itself
+    got = spans.chain([(0, 0, 500), (600, 600, 300), (610, 900, 110)], gap=0.1)
+    assert sorted(c[:4] for c in got) == [(0, 900, 0, 900), (610, 720, 900, 1010)]
