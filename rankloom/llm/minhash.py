@@ -167,12 +167,12 @@ def distances_at_least(a: np.ndarray, la: np.ndarray, u: np.ndarray, b: np.ndarr
         at = np.flatnonzero(la > i)
         places[at, a[at, i]] |= np.uint64(1 << i)
     one, out = np.uint64(1), np.empty(len(u), np.int32)
-    flat, wide = places.reshape(-1), b.astype(np.intp)
+    flat = places.reshape(-1)
     for k in range(0, len(u), 1 << 12):
         # blocks of neighbouring pairs stay in the cache; the longest texts of a block come first
         rows = k + np.argsort(-lb[v[k : k + (1 << 12)]], kind="stable")
         p, n = u[rows] * SYMBOLS, lb[v[rows]]
-        text = np.ascontiguousarray(wide[v[rows]].T)
+        text = np.ascontiguousarray(b[v[rows], : int(n.max(initial=0))].T).astype(np.intp)
         live = np.searchsorted(-n, -np.arange(int(n.max(initial=0))), "left")
         score, top = la[u[rows]].astype(np.int64), (la[u[rows]] - 1).astype(np.uint64)
         up, down = np.full(len(rows), np.uint64(2**64 - 1)), np.zeros(len(rows), np.uint64)

@@ -30,6 +30,8 @@ _BLOCK = 1 << 19
 #: Ids that may be broadcast (8 bytes each); beyond, the same join runs by shuffle.
 MOST_BROADCAST = 400_000
 _QUERY_BITS = 256
+#: Rows from which a stretch is compared as a block.
+_STRETCH = 256
 
 
 def doc_keys(texts: list[str]) -> list[np.ndarray]:
@@ -55,9 +57,9 @@ def _query_bands(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def _sketch(s: pd.Series) -> pd.Series:
-    """Bitmaps of the characters and of the shingles of two, and the symbols of the first WORD characters."""
+    """Bitmaps of the characters and of the shingles of two."""
     texts = s.fillna("").tolist()
-    parts = (bitmaps(texts, 1, _QUERY_BITS, True), bitmaps(texts, 2, _QUERY_BITS, True), symbols([x[:WORD] for x in texts]))
+    parts = (bitmaps(texts, 1, _QUERY_BITS, True), bitmaps(texts, 2, _QUERY_BITS, True))
     return pd.Series([b"".join(x) for x in zip(*(map(bytes, p) for p in parts))])
 
 
@@ -92,10 +94,11 @@ def _with_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "example_id", how)
 
 
-def _products(groups: np.ndarray, side: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers (e, t) of the pairs with side 1 and 0 in one group whose lengths allow them to be near, in blocks.
+def _ranges(groups: np.ndarray, side: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ones, zeros, low, many): rows of side 1, rows of side 0, and for each of the first, that it meets zeros[low : low + many].
 
-    Rows come sorted by group, side and length, so that each row of side 1 meets one stretch of rows of side 0.
+    These are the rows in one group whose lengths allow them to be near.  Rows come sorted by group, side and length, so
+    that each row of side 1 meets one stretch of rows of side 0.
     """
     new = np.concatenate(([True], groups[1:] != groups[:-1]))
     ids = np.cumsum(new) - 1
@@ -108,7 +111,11 @@ def _products(groups: np.ndarray, side: np.ndarray, length: np.ndarray) -> Itera
     high = np.searchsorted(rising, ids[ones] * wide + (n * 5 // 4), "right")
     many = np.maximum(high - low, 0)
     keep = many > 0
-    ones, low, many = ones[keep], low[keep], many[keep]
+    return ones[keep], zeros, low[keep], many[keep]
+
+
+def _pairs_of(ones: np.ndarray, zeros: np.ndarray, low: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of _ranges(), in blocks."""
     upto = np.concatenate(([0], np.cumsum(many)))
     i = 0
     while i < len(ones):
@@ -119,6 +126,11 @@ def _products(groups: np.ndarray, side: np.ndarray, length: np.ndarray) -> Itera
         i = j
 
 
+def _products(groups: np.ndarray, side: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (e, t) of the pairs with side 1 and 0 in one group whose lengths allow them to be near, in blocks."""
+    return _pairs_of(*_ranges(groups, side, length))
+
+
 def _whole_tiles(answer: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]):
     """A function for mapInPandas that gives ``answer`` only whole tiles, from rows sorted by tile."""
 
@@ -142,36 +154,94 @@ def _whole_tiles(answer: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]):
     return run
 
 
-def _near_sketches(sketch: np.ndarray, length: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (u, v) that can be near by their sketches: by the bounds on lost shingles, then by the distance."""
-    size = _QUERY_BITS // 8
-    bits = [np.ascontiguousarray(sketch[:, i * size : (i + 1) * size]).view(np.uint64) for i in (0, 1)]
-    chars = sketch[:, 2 * size :]
-    for k in (1, 2):
-        good = few_lost(bits[k - 1], u, bits[k - 1], v, k * (np.maximum(length[u], length[v]) // 5))
+def _few_lost_pairs(bits: np.ndarray, groups: np.ndarray, side: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of _products() that can be near by their bitmaps of characters.
+
+    Rows of side 1 that meet one long stretch are compared with it as a block, by words, without lists of their pairs.
+    """
+    ones, zeros, low, many = _ranges(groups, side, length)
+    long = many >= _STRETCH
+    for u, v in _pairs_of(ones[~long], zeros, low[~long], many[~long]):
+        good = few_lost(bits, u, bits, v, np.maximum(length[u], length[v]) // 5)
+        yield u[good], v[good]
+    ones, low, many = ones[long], low[long], many[long]
+    if not len(ones):
+        return
+    words = np.ascontiguousarray(bits[zeros].T)
+    n, size = (x.astype(np.int16) for x in (np.bitwise_count(bits).sum(1, dtype=np.int16), length // 5))
+    edges = np.concatenate(([0], np.flatnonzero((low[1:] != low[:-1]) | (many[1:] != many[:-1])) + 1, [len(ones)]))
+    for i, j in zip(edges[:-1], edges[1:]):
+        step = max(1, (1 << 17) // int(many[i]))
+        stretch = slice(int(low[i]), int(low[i] + many[i]))
+        v = zeros[stretch]
+        for k in range(i, j, step):
+            u = ones[k : min(k + step, j)]
+            common = np.zeros((len(u), len(v)), np.int16)
+            for w in range(bits.shape[1]):
+                common += np.bitwise_count(bits[u, w][:, None] & words[w, stretch])
+            common += np.maximum(size[u][:, None], size[v])
+            x, y = np.nonzero(common >= np.maximum(n[u][:, None], n[v]))
+            yield u[x], v[y]
+
+
+def _near_texts(b: pd.DataFrame, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (u, v) of the pairs of one bucket that can be near, each in the first bucket that the two share.
+
+    By the bounds on lost characters and shingles, then by the distance.
+    """
+    sketch = np.frombuffer(b"".join(b["sketch"]), np.uint64).reshape(len(b), -1)
+    bits = np.split(sketch, 2, axis=1)
+    band, s = b["band"].to_numpy(), b["s"].to_numpy()
+    _, first, text = np.unique(b["id"].to_numpy(), return_index=True, return_inverse=True)
+    keys, chars, known = np.zeros((QUERY.bands, len(first)), np.int64), np.zeros((len(first), WORD), np.uint8), np.zeros(len(first), bool)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def rest() -> tuple[np.ndarray, np.ndarray]:
+        u, v = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        good = few_lost(bits[1], u, bits[1], v, 2 * (np.maximum(length[u], length[v]) // 5))
         u, v = u[good], v[good]
-    short = (length[u] <= WORD) & (length[v] <= WORD)
-    good = np.ones(len(u), bool)
-    x, y = u[short], v[short]
-    good[short] = distances_at_least(chars, np.minimum(length, WORD), x, chars, length, y) <= np.maximum(length[x], length[y]) // 5
-    return u[good], v[good]
+        new = np.unique(np.concatenate((text[u], text[v])))
+        new = new[~known[new]]
+        if len(new):
+            texts = s[first[new]].tolist()
+            keys[:, new], chars[new], known[new] = QUERY.keys(texts).T, symbols([x[:WORD] for x in texts]), True
+        x, y, upto = text[u], text[v], band[u]
+        for g in range(QUERY.bands):
+            good = np.flatnonzero((upto <= g) | (keys[g][x] != keys[g][y]))
+            if len(good) < len(u):
+                u, v, x, y, upto = u[good], v[good], x[good], y[good], upto[good]
+        short = (length[u] <= WORD) & (length[v] <= WORD)
+        x, y = text[u[short]], text[v[short]]
+        size = length[first]
+        good = np.ones(len(u), bool)
+        good[short] = distances_at_least(chars, np.minimum(size, WORD), x, chars, size, y) <= np.maximum(size[x], size[y]) // 5
+        return u[good], v[good]
+
+    n = 0
+    for u, v in _few_lost_pairs(np.ascontiguousarray(bits[0]), b["tile"].to_numpy(), b["e"].to_numpy(), length):
+        held.append((u, v))
+        n += len(u)
+        if n >= _BLOCK:
+            yield rest()
+            n = 0
+    if held:
+        yield rest()
 
 
 def _compared(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Pairs of one bucket; those with sketches, if these can be near."""
     b = b.sort_values(["tile", "e", "len"], kind="stable")
     ids, length = b["id"].to_numpy(), b["len"].to_numpy().astype(np.int64)
-    sketch = np.frombuffer(b"".join(b["sketch"]), np.uint8).reshape(len(b), -1) if "sketch" in b else None
-    for u, v in _products(b["tile"].to_numpy(), b["e"].to_numpy(), length):
-        if sketch is not None:
-            u, v = _near_sketches(sketch, length, u, v)
+    near_pairs = _near_texts(b, length) if "sketch" in b else _products(b["tile"].to_numpy(), b["e"].to_numpy(), length)
+    for u, v in near_pairs:
         yield pd.DataFrame({"id_e": ids[u], "id_t": ids[v]}).drop_duplicates()
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
     """Distinct (id_e, id_t) of the rows (tile, e, id, len) with one tile, e 1 and 0, and lengths that can be near.
 
-    With a column sketch, also of sketches that can be near.  A bucket of more than PAIRS_OF_TILE pairs or ROWS_OF_TILE
+    With the columns sketch, s (the text) and band (the number of the key), also of texts that can be near.  A bucket of more than PAIRS_OF_TILE pairs or ROWS_OF_TILE
     rows is cut into chunks by id, and each chunk of one side meets each of the other, so that nothing is lost.
     """
     k_e, k_t = F.sum("e").alias("k_e"), F.sum(1 - F.col("e")).alias("k_t")
@@ -193,9 +263,11 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
 
 def near_queries(queries: DataFrame) -> DataFrame:
     """(qe, qt, k_e, k_t): the keys of all near queries of which one has rows of dev or test and the other of train."""
-    q = queries.select("q", "k_e", "k_t", F.length("bq").alias("len"), _sketch("bq").alias("sketch"), _query_bands("bq").alias("bands"))
+    q = queries.select("q", "k_e", "k_t", "bq", F.length("bq").alias("len"), _sketch("bq").alias("sketch"), _query_bands("bq").alias("bands"))
     sides = F.array(*(F.when(F.col(c) > 0, F.lit(e)) for c, e in (("k_e", 1), ("k_t", 0))))
-    rows = q.withColumn("e", F.explode(F.array_compact(sides))).select(F.explode("bands").alias("tile"), "e", F.col("q").alias("id"), "len", "sketch")
+    rows = q.withColumn("e", F.explode(F.array_compact(sides))).select(
+        F.posexplode("bands").alias("band", "tile"), "e", F.col("q").alias("id"), "len", "sketch", F.col("bq").alias("s")
+    )
     found = materialize(bucket_pairs(rows), "query-pairs")
     a, b = (queries.select(F.col("q").alias(f"id_{x}"), F.col("bq").alias(f"s_{x}"), f"k_{x}") for x in "et")
     found = found.join(small_or_shuffled(a), "id_e").join(small_or_shuffled(b), "id_t")

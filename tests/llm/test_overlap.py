@@ -1,5 +1,7 @@
 import random
 
+import pandas as pd
+
 from rankloom.llm import overlap
 from rankloom.llm.bare import bare_doc, bare_text
 
@@ -139,3 +141,21 @@ def test_recall_by_edit_rate(spark):
 def test_short_docs_with_separate_edits(spark):
     rows = [(1, "train", "a", "one question", "abcdefghij", "k", 1, 2), (2, "dev", "a", "one question", "abXdefgYij", "k", 1, 2)]
     assert [tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()] == [(1, 2)]
+
+
+def test_queries_of_one_template_are_compared_once(monkeypatch):
+    """Pairs come in the first bucket they share only, all that can be near, whether compared one by one or as blocks."""
+    rnd = random.Random(21)
+    word = lambda n: "".join(rnd.choice("bdfgklmn") + rnd.choice("aeiou") for _ in range(n))
+    texts = sorted({f"whydoesthe{word(4)}{rnd.choice(['tablet', 'river', 'ledger'])}stopafterthe{rnd.choice(['update', 'refund'])}" for _ in range(160)})
+    texts += ["x" + t for t in texts[:20]] + ["".join(map(chr, range(97, 123))) * 3, "".join(map(chr, range(97, 123))) * 3 + "z"]
+    keys, sketch = overlap.QUERY.keys(texts), overlap._sketch.func(pd.Series(texts))
+    rows = [(int(k), g, i % 2, i, len(t), sketch[i], t) for i, t in enumerate(texts) for g, k in enumerate(keys[i])]
+    b = pd.DataFrame(rows, columns=["tile", "band", "e", "id", "len", "sketch", "s"]).sort_values("tile", kind="stable")
+    far = lambda s, t: overlap.edit_distance(s, t, max(len(s), len(t))) > max(len(s), len(t)) // 5
+    near = {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if i % 2 and not j % 2 and set(keys[i]) & set(keys[j]) and not far(s, t)}
+    assert len(near) > 20
+    for least in (1, 10**9):
+        monkeypatch.setattr(overlap, "_STRETCH", least)
+        got = [tuple(r) for x in overlap._compared(b) for r in x.itertuples(index=False)]
+        assert len(got) == len(set(got)) and near <= set(got)
